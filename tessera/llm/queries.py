@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_pu, quality_rules, simhash
+from tessera.llm import bpe, quality_pu, quality_rules, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,8 +30,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    v = bpe.Vocabulary.load(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
+    return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
