@@ -7,7 +7,6 @@ then a gather of weights and a mean, whatever the text's length.  Texts without
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -51,35 +50,41 @@ def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if len(doc):
             b, n = np.unique(bucket, return_counts=True)
             cols.append(b.astype(np.int32))
-            vals.append((SCALE * n / len(doc)).astype(np.float32))
-    return (np.concatenate(cols), np.concatenate(vals)) if cols else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+            vals.append((SCALE * n / len(doc)).astype(np.float16))
+    return (np.concatenate(cols), np.concatenate(vals)) if cols else (np.zeros(0, np.int32), np.zeros(0, np.float16))
 
 
-@dataclass
 class Rows:
-    """A sparse matrix by rows."""
+    """A sparse matrix by rows; products go by blocks of BLOCK entries, so they need little besides it."""
 
-    start: np.ndarray
-    col: np.ndarray
-    val: np.ndarray
-    row: np.ndarray = field(init=False)
+    BLOCK = 1 << 19
 
-    def __post_init__(self):
-        self.row = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
-
-    @classmethod
-    def of(cls, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        start = np.concatenate([[0], np.cumsum([len(c) for c, _ in pairs])]).astype(np.int64)
-        return cls(start, np.concatenate([c for c, _ in pairs] or [np.zeros(0, np.int32)]), np.concatenate([v for _, v in pairs] or [np.zeros(0, np.float32)]))
+    def __init__(self, col: list[bytes], val: list[bytes]):
+        self.n = len(col)
+        size = [len(c) // 4 for c in col]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.col = np.frombuffer(b"".join(col), np.int32)
+        self.val = np.frombuffer(b"".join(val), np.float16)
 
     def __len__(self) -> int:
-        return len(self.start) - 1
+        return self.n
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.col), self.BLOCK):
+            at = slice(i, i + self.BLOCK)
+            yield self.row[at], self.col[at], self.val[at].astype(np.float32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.val * w[self.col], minlength=len(self))
+        out = np.zeros(self.n)
+        for row, col, val in self.blocks():
+            out += np.bincount(row, weights=val * w[col], minlength=self.n)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=self.val * g[self.row], minlength=BUCKETS)
+        out = np.zeros(BUCKETS)
+        for row, col, val in self.blocks():
+            out += np.bincount(col, weights=val * g[row], minlength=BUCKETS)
+        return out
 
 
 def sample_ids(df: DataFrame, n: int, salt: int) -> DataFrame:
@@ -97,14 +102,14 @@ def featured(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
             for i in range(0, len(b), 64):
                 part = b.iloc[i : i + 64]
                 pairs = [sparse(t) for t in part["text"]]
-                yield part.drop(columns="text").assign(col=[c for c, _ in pairs], val=[v for _, v in pairs])
+                yield part.drop(columns="text").assign(col=[c.tobytes() for c, _ in pairs], val=[v.tobytes() for _, v in pairs])
 
-    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "col array<int>", "val array<float>"])
+    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "col binary", "val binary"])
     return picked.mapInPandas(of, schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def matrix(rows: pd.DataFrame) -> Rows:
-    return Rows.of([(np.asarray(c, np.int32), np.asarray(v, np.float32)) for c, v in zip(rows["col"], rows["val"])])
+    return Rows(rows["col"].tolist(), rows["val"].tolist())
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import linear
+from tessera.runtime import store
 
 #: The bound of the sample that the model is fitted on.
-POSITIVES, UNLABELLED = 800, 2400
+POSITIVES, UNLABELLED = 600, 2000
+#: The bound of the sample that the prior and the intercept are estimated on.
+CHECK_POSITIVES, CHECK_UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
 
 
@@ -49,6 +52,8 @@ class Model:
 def best_bin_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among ``u``: the least of (share of u above t + margin) / (share of p above t)."""
     cuts = np.sort(p)
+    if not len(p) or not len(u):
+        return 0.5
     above_p = 1 - np.searchsorted(cuts, cuts, side="left") / len(p)
     above_u = 1 - np.searchsorted(np.sort(u), cuts, side="left") / len(u)
     margin = np.sqrt(np.log(20) / 2 / len(u)) + np.sqrt(np.log(20) / 2 / len(p))
@@ -56,6 +61,12 @@ def best_bin_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
 
 
+def apart(p: linear.Rows, u: linear.Rows, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Gradient of the logistic loss that parts positives from unlabelled text, both weighing as much."""
+    gp, gu = -linear.sigmoid(-p.dot(w) - b) / len(p), linear.sigmoid(u.dot(w) + b) / len(u)
+    return p.back(gp) + u.back(gu), gp.sum() + gu.sum()
+
+
 def nn_pu(p: linear.Rows, u: linear.Rows, prior: float, steps: int = 80) -> tuple[np.ndarray, float]:
     """Minimises the non-negative risk over the sample."""
 
@@ -72,38 +83,53 @@ def nn_pu(p: linear.Rows, u: linear.Rows, prior: float, steps: int = 80) -> tupl
     return linear.descend(gradient, steps, l2=1e-4)
 
 
-def fit_rows(rows: pd.DataFrame) -> Model:
-    """``rows``: kind (1 positive, 0 unlabelled), check (rows for the prior), col, val."""
-    parts = [rows[(rows["kind"] == k) & (rows["check"] == c)] for k in (1, 0) for c in (False, True)]
-    if not all(len(x) for x in parts):
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fits on the hash-first trusted ids and ids of ``docs`` in folds 2-4; the prior and the intercept come from fold 1.
+
+    Only grams of the fitted sample and scores of the checked one reach the driver, both of bounded number.
+    """
+    free = ~held_out()
+    trusted, others = labels.filter(free & (F.col(label) == 1)).select("doc_id").distinct(), docs.filter(free).select("doc_id").distinct()
+
+    def sampled(check: bool, positives: int, unlabelled: int) -> DataFrame:
+        fold_ok = (fold() == 1) == F.lit(check)
+        own = linear.sample_ids(trusted.filter(fold_ok), positives, 1).withColumn("kind", F.lit(1))
+        return own.unionAll(linear.sample_ids(others.filter(fold_ok), unlabelled, 2).withColumn("kind", F.lit(0)))
+
+    rows = linear.featured(docs, sampled(False, POSITIVES, UNLABELLED))
+    p, u = linear.matrix(rows[rows["kind"] == 1]), linear.matrix(rows[rows["kind"] == 0])
+    del rows
+    if not len(p) or not len(u):
         return Model(np.zeros(linear.BUCKETS), 0.0, 0.5)
-    p, p_check, u, u_check = map(linear.matrix, parts)
-    both = linear.matrix(pd.concat([parts[0], parts[2]]))
-    y = np.r_[np.ones(len(p)), np.zeros(len(u))]
-    w, b = linear.logistic(both, y, np.r_[np.full(len(p), 1 / len(p)), np.full(len(u), 1 / len(u))], steps=30)
-    prior = best_bin_prior(p_check.dot(w) + b, u_check.dot(w) + b)
+    check = store(sampled(True, CHECK_POSITIVES, CHECK_UNLABELLED), "check")
+    w, b = linear.descend(lambda w, b: apart(p, u, w, b), 30)
+    prior = best_bin_prior(*scored(docs, check, w))
     w, b = nn_pu(p, u, prior)
     # the sample's size leaves the posterior too high or low as a whole: as many as the prior says pass the threshold
-    cut = np.quantile(u_check.dot(w) + b, 1 - prior)
-    return Model(w, float(b - cut + np.log(THRESHOLD / (1 - THRESHOLD))), prior)
+    cut = scored(docs, check, w)[1]
+    return Model(w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(cut, 1 - prior)) if len(cut) else b, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """On the hash-first POSITIVES trusted ids and UNLABELLED ids of ``docs`` outside the held-out fold."""
-    free = ~held_out()
-    trusted = linear.sample_ids(labels.filter(free & (F.col(label) == 1)).select("doc_id").distinct(), POSITIVES, 1)
-    others = linear.sample_ids(docs.filter(free).select("doc_id").distinct(), UNLABELLED, 2)
-    ids = trusted.withColumn("kind", F.lit(1)).unionAll(others.withColumn("kind", F.lit(0))).withColumn("check", fold() == 1)
-    return fit_rows(linear.featured(docs, ids))
+def scored(docs: DataFrame, ids: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores without intercept of the positives and of the unlabelled rows among ``ids``, which are few."""
+    z = raw_score(docs, weights)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", z("text").alias("z")).collect()
+    return tuple(np.array([r.z for r in rows if r.kind == k]) for k in (1, 0))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def raw_score(docs: DataFrame, weights: np.ndarray):
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series(linear.sigmoid(linear.scores(s.tolist(), shared.value.weights) + shared.value.bias))
+            yield pd.Series(linear.scores(s.tolist(), shared.value))
+
+    return of
 
-    return docs.select("doc_id", held_out().alias("held_out"), of("text").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row of ``docs``."""
+    z = raw_score(docs, model.weights)("text") + F.lit(model.bias)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
+    return docs.select("doc_id", held_out().alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

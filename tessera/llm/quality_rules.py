@@ -24,7 +24,7 @@ from tessera.llm import linear, textnum
 from tessera.llm.quality_pu import fold, held_out
 
 #: The bound of the sample for each label, for fitting and for calibration.
-FIT, CALIBRATE = 1000, 500
+FIT, CALIBRATE = 700, 300
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 ACCEPT = 0.5
 SYMBOLS = np.zeros(256, bool)
@@ -87,13 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     ]
     ids = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     rows = linear.featured(docs, ids)
-    train, check = rows[~rows["check"].astype(bool)], rows[rows["check"].astype(bool)]
-    y = train["y"].to_numpy(float)
+    last = rows["check"].to_numpy(bool)
+    y, y_check = rows["y"].to_numpy(float)[~last], rows["y"].to_numpy(float)[last]
+    train, check = linear.matrix(rows[~last]), linear.matrix(rows[last])
+    del rows
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(linear.BUCKETS), 0.0, 1.0, 35.0)
     # both labels weigh as much as the other in fitting and in calibration: a fixed limit then means the same for any mix
-    w, b = linear.logistic(linear.matrix(train), y, np.where(y > 0, 1 / y.sum(), 1 / (1 - y).sum()))
-    return Model(w, b, *linear.platt(linear.matrix(check).dot(w) + b, check["y"].to_numpy(float)))
+    w, b = linear.logistic(train, y, np.where(y > 0, 1 / y.sum(), 1 / (1 - y).sum()))
+    return Model(w, b, *linear.platt(check.dot(w) + b, y_check))
 
 
 def judged(model: Model, docs: DataFrame, text: str = "text") -> Column:
