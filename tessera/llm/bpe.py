@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Characters cut into pieces at once.
+CUT = 1 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -107,9 +109,9 @@ class Vocabulary:
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         out: list[bytes] = []
         i = 0
-        while i < len(texts):  # some megabytes at a time, or one text
+        while i < len(texts):  # some texts at a time, or a long one
             pieces, size = [], 0
-            while i + len(pieces) < len(texts) and (not pieces or size < 4 << 20):
+            while i + len(pieces) < len(texts) and (not pieces or size < CUT):
                 t = texts[i + len(pieces)] or ""
                 size += len(t)
                 parts = cut(t)
@@ -124,8 +126,7 @@ class Vocabulary:
             for s in new & self.special.keys():
                 self.seen[s] = np.array([self.special[s]], "<u4").tobytes()
             new = sorted(new - self.special.keys())
-            for k in range(0, len(new), 100_000):
-                self.seen.update(zip(new[k : k + 100_000], (x.tobytes() for x in self.merge([x.encode() for x in new[k : k + 100_000]]))))
+            self.seen.update(zip(new, (x.tobytes() for x in self.merge([x.encode() for x in new]))))
             got = self.seen.__getitem__
             out += [b"".join(map(got, own)) for own in pieces]
             i += len(pieces)
@@ -168,6 +169,19 @@ def decoder(docs: DataFrame, vocabulary: Vocabulary):
     return of
 
 
+def coder(docs: DataFrame, vocabulary: Vocabulary):
+    """A function of a text column to (its ids, the text that they stand for), in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            ids = shared.value.encode(s.tolist())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(shared.value.decode(ids), dtype=object)})
+
+    return of
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -180,3 +194,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``rows`` with the text of an id column."""
     return rows.withColumn(to, decoder(rows, vocabulary)(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """``docs`` with columns ids and decoded, which take the place of any of that name."""
+    return docs.withColumn("__c", coder(docs, vocabulary)(F.col(text))).withColumns({"ids": F.col("__c.ids"), "decoded": F.col("__c.decoded")}).drop("__c")

@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     v = bpe.Vocabulary.load(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
+    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), v)
     return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
