@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality_pu, quality_rules, simhash
+from tessera.llm import bpe, quality_pu, quality_rules, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,8 +36,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc = warc.write_arc(read(spark, sf_dir, "pages"))
+    records = warc.read_warc(spark, warc.convert(spark, arc))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", warc.page_in("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op8_warc_from_arc)}
 
 
 def oracle_sql() -> dict[str, str]:
