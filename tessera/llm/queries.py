@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality_pu, quality_rules, simhash, warc
+from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = chat.read_back(chat.windows(turns.unionAll(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))))
+    return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=4.0).select("doc_id", "source", "epoch")
+
+
 def op8_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc = warc.write_arc(read(spark, sf_dir, "pages"))
     records = warc.read_warc(spark, warc.convert(spark, arc))
@@ -43,8 +54,65 @@ def op8_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op8_warc_from_arc)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op8_warc_from_arc)}
+
+
+OP5_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n AS (
+  SELECT *, row_number() OVER w AS pos, ceil(length(text) / 4) + 4 AS size,
+    length(regexp_replace(role, '[<\\[\\]\\\\]', '..', 'g')) + length(regexp_replace(text, '[<\\[\\]\\\\]', '..', 'g')) + {len(chat.TURN + chat.MID + chat.END)} AS len
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), h AS (SELECT *, pos = 1 AND role = 'system' AS opens FROM n
+), s AS (
+  SELECT *, max(opens::int) OVER (PARTITION BY conv_id) AS system,
+    CASE WHEN opens THEN 0 ELSE (sum(CASE WHEN opens THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY pos) - 1)::bigint // {chat.BUDGET} END AS span
+  FROM h
+), f AS (SELECT conv_id, span, min(pos) AS first_pos, max(system) AS system FROM s GROUP BY ALL
+), r AS (
+  SELECT s.conv_id, sum(s.len) AS again FROM f JOIN s ON s.conv_id = f.conv_id AND s.pos < f.first_pos
+    AND (s.pos >= f.first_pos - {chat.HISTORY} OR s.pos = 1 AND f.system = 1)
+  GROUP BY ALL
+)
+SELECT s.conv_id, count(*) AS n_turns,
+  sha256(string_agg(s.role || chr(10) || s.text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(s.text)) FILTER (s.role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(s.text, '' ORDER BY pos) FILTER (s.role = 'assistant'), '')) AS loss_sha256,
+  (sum(s.len) + coalesce(max(r.again), 0))::bigint AS formatted_chars
+FROM s LEFT JOIN r ON r.conv_id = s.conv_id GROUP BY s.conv_id
+"""
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, greatest(1, ceil(length(coalesce(text, '')) / 4))::bigint AS tk,
+    md5('{mixing.SEED}|' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) AS key FROM documents
+), s AS (SELECT source, sum(tk)::bigint AS t, count(*) AS n, (sum(tk) / sum(sum(tk)) OVER ())::double AS p FROM d GROUP BY source
+), a AS (SELECT CASE WHEN max(p) = min(p) THEN 0 ELSE greatest(0, least(1, 1 - ln(4.0) / ln(max(p) / min(p)))) END AS alpha FROM s
+), w AS (SELECT s.*, exp(alpha * ln(p)) / sum(exp(alpha * ln(p))) OVER () AS w FROM s, a
+), b AS (SELECT *, round(w * max(t / w) OVER ())::bigint AS budget FROM w
+), f AS (SELECT source, t, budget // t AS laps, budget % t AS rest, ceil(n / {mixing.BLOCK})::bigint AS blocks FROM b
+), x AS (
+  SELECT d.*, f.laps, f.rest, ('0x' || substr(d.key, 1, 15))::bigint % f.blocks AS block, md5(d.key || '|' || f.laps) AS own
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+), y AS (SELECT *, md5('{mixing.SEED}|' || laps || '|' || block) AS place FROM x
+), z AS (SELECT *, sum(tk) OVER (PARTITION BY source ORDER BY place, block, own) - tk AS upto FROM y
+), e AS (SELECT doc_id, source, laps + CASE WHEN upto < rest THEN 1 ELSE 0 END AS copies FROM z)
+SELECT doc_id, source, unnest(range(1, copies + 1))::bigint AS epoch FROM e
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, (5 * k + 1)::bigint, 5))::bigint) AS parts FROM d)
+SELECT page_id, n::bigint AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (parts[1 + i // 4] >> (15 - 5 * (i % 4))) % 32, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM v
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_windows": OP5_SQL, "op6_temperature_mixing": OP6_SQL, "op8_warc_from_arc": OP8_SQL}
