@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, warc
+from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,8 +53,13 @@ def op8_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", warc.page_in("refers_to").alias("refers_to"))
 
 
+def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op8_warc_from_arc)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op8_warc_from_arc, op9_toxicity_kernel)}
 
 
 OP5_SQL = f"""

@@ -11,7 +11,7 @@ most toxic, and trains again.
 Because the kernel is a dot product of subsequence weights, the machine folds into one weight per subsequence:
 scoring costs the subsequences of a string, however many landmarks there are, and equals the sum over landmarks.
 
-Strings are a sentence's words, lower-cased, look-alike digits and signs as their letters, accents dropped,
+Strings are a sentence's words, lower-cased, look-alike digits and signs as their letters,
 punctuation at the ends left off and inside as gaps; single characters in a row (``i d i o t``) also make one
 string; long ones are read in overlapping pieces.  Sentences end at line ends and at . ! ?
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -40,37 +41,44 @@ from tessera.llm.quality_pu import fold, held_out
 
 ORDERS, DECAY = (3, 4), 0.6
 #: The bound of what is fitted on: labelled texts of each kind, landmarks, strings of clean texts.
-TEXTS, LANDMARKS, CLEAN = 1500, 300, 6000
+TEXTS, LANDMARKS, CLEAN = 1000, 300, 6000
 #: A string is read in pieces of PIECE characters, every STEP.
-PIECE, STEP = 16, 8
+PIECE, STEP = 12, 6
 THRESHOLD, REMEMBERED = 0.5, 400_000
+#: Standard deviations by which a telling string must stand out.
+SURE = 4.5
+#: The share of toxic texts that it must be in, apart from those that hold another.
+FEW = 0.005
 LETTERS = 32
 #: Digits and signs that stand for letters.
 ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 
+#: Between classes and printable bytes, to send strings parted by line feeds.
+SHIFT, UNSHIFT = bytes((b + 32) % 256 for b in range(256)), bytes((b - 32) % 256 for b in range(256))
+
+
 class Classes(dict):
-    """Code point -> class: 1 to 26 for letters, 27 to 31 for other scripts, 0 for what is a gap."""
+    """Code point -> class: 1 to 26 for plain letters, 27 to 31 for accented ones and other scripts, 0 for what is a gap."""
 
     def __missing__(self, c: int) -> int:
-        x = ALIKE.get(chr(c), chr(c))
-        x = unicodedata.normalize("NFKD", x).lower()[:1]
-        self[c] = v = ord(x) - 96 if "a" <= x <= "z" else 27 + c % 5 if x and unicodedata.category(x)[0] in "LN" else 0
+        x = unicodedata.normalize("NFKC", ALIKE.get(chr(c), chr(c))).lower()[:1]
+        self[c] = v = ord(x) - 96 if "a" <= x <= "z" else 27 + ord(x) % 5 if x and unicodedata.category(x)[0] in "LN" else 0
         return v
 
 
 CLASSES = Classes()
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in re.split(r"\n|(?<=[.!?])\s", text or "") if s.strip()]
+#: Three or more single characters in a row.
+RUN = re.compile(r"(?:\s\S[.,;:!?]?){3}\s")
 
 
 def strings(text: str | None) -> set[str]:
     """The strings of a text's sentences, as they are written but for case."""
     words = (text or "").lower().split()
     out = set(words)
-    if sum(map(len, words)) < 3 * len(words) or any(len(a) == 1 for a in out):
+    if RUN.search(f" {text or ''} "):
         run: list[str] = []
         for w in [*words, "  "]:
             if len(w.strip(".,;:!?")) == 1:
@@ -85,7 +93,7 @@ def strings(text: str | None) -> set[str]:
 
 def pieces(string: str) -> list[bytes]:
     """Classes of a string's characters, gaps at its ends left off, in pieces."""
-    x = bytes(CLASSES[ord(c)] for c in string).strip(b"\0")
+    x = string.translate(CLASSES).encode("latin-1").strip(b"\0")
     if len(x) <= PIECE:
         return [x] if len(x) >= min(ORDERS) else []
     return [x[i : i + PIECE] for i in range(0, max(1, len(x) - STEP), STEP)]
@@ -99,32 +107,53 @@ def places(length: int, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subsequences(rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For strings of one length (classes, a row each): code and weight of each subsequence; weight 0 where it has a gap."""
-    at, weight = places(rows.shape[1], order)
-    code = np.zeros((len(rows), len(at)), np.int64)
-    solid = np.ones(code.shape, bool)
-    for k in range(order):
-        c = rows[:, at[:, k]]
-        code = code * LETTERS + c
-        solid &= c > 0
-    return code, weight * solid
+    """For strings of one length (classes, a column each): code and weight of each subsequence; weight 0 where it has a gap."""
+    at, weight = places(len(rows), order)
+    code = rows[at[:, 0]]
+    for k in range(1, order):
+        code = code * LETTERS + rows[at[:, k]]
+    if rows.all():
+        return code, weight[:, None]
+    solid = rows > 0
+    whole = solid[at[:, 0]]
+    for k in range(1, order):
+        whole &= solid[at[:, k]]
+    return code, weight[:, None] * whole
+
+
+def own_kernel(rows: np.ndarray) -> list[np.ndarray]:
+    """The kernel of each string (a column) with itself, by order, not normalised: the recursion of the kernel over prefixes."""
+    n, size = rows.shape
+    # reach[j, b]: DECAY to the number of characters after j up to b
+    reach = np.triu(DECAY ** (np.arange(n)[None] - np.arange(n)[:, None]).clip(0).astype(float))
+    same = (rows[:, None] == rows[None]) & (rows > 0)[:, None]
+    # inner[b]: weights of common subsequences of the prefix so far and of the first b characters, to the ends of both
+    inner, out = [np.ones((n + 1, size))] + [np.zeros((n + 1, size)) for _ in range(ORDERS[-1] - 1)], [np.zeros(size) for _ in range(ORDERS[-1])]
+    for a in range(n):
+        hit = [same[a] * x[:-1] * DECAY**2 for x in inner]
+        for i in range(ORDERS[-1]):
+            out[i] = out[i] + hit[i].sum(axis=0)
+        for i in range(1, ORDERS[-1]):
+            inner[i] = DECAY * inner[i]
+            inner[i][1:] += reach.T @ hit[i - 1]
+    return [out[k - 1] for k in ORDERS]
 
 
 def by_length(keys: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, classes) for the strings of each length, some thousands at a time."""
+    """(indices, classes) for the strings of each length, a column each, some hundreds at a time."""
     size = np.array([len(k) for k in keys])
     for n in np.unique(size):
         own = np.flatnonzero(size == n)
-        for i in range(0, len(own), 2048):
-            at = own[i : i + 2048]
-            yield at, np.frombuffer(b"".join(keys[j] for j in at), np.uint8).reshape(len(at), n).astype(np.int64)
+        for i in range(0, len(own), 512):
+            at = own[i : i + 512]
+            yield at, np.ascontiguousarray(np.frombuffer(b"".join(keys[j] for j in at), np.uint8).reshape(len(at), n).T.astype(np.int32))
 
 
 def phi(key: bytes, order: int) -> dict[int, float]:
     """Weights of a string's subsequences, at length one."""
-    code, weight = subsequences(np.frombuffer(key, np.uint8).astype(np.int64)[None], order)
+    code, weight = subsequences(np.frombuffer(key, np.uint8).astype(np.int32)[:, None], order)
     out: dict[int, float] = {}
-    for c, w in zip(code[0].tolist(), weight[0].tolist()):
+    for c, w in zip(code[:, 0].tolist(), weight[:, 0].tolist()):
         if w:
             out[c] = out.get(c, 0.0) + w
     norm = np.sqrt(sum(w * w for w in out.values()))
@@ -144,22 +173,10 @@ def folded(keys: list[bytes], tables: list[np.ndarray]) -> np.ndarray:
     """Per string the sum over orders of (subsequence weights at length one) . table."""
     out = np.zeros(len(keys))
     for at, rows in by_length(keys):
-        for n, table in zip(ORDERS, tables):
-            if rows.shape[1] < n:
-                continue
-            code, weight = subsequences(rows, n)
-            order = np.argsort(code, axis=1, kind="stable")
-            code, weight = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1)
-            total = np.cumsum(weight, axis=1)
-            last = np.ones(code.shape, bool)
-            last[:, :-1] = code[:, 1:] != code[:, :-1]
-            # sums over equal codes: differences of the running total at their last places
-            held = np.where(last, total, 0.0)
-            before = np.maximum.accumulate(held, axis=1)
-            before = np.concatenate([np.zeros((len(code), 1)), before[:, :-1]], axis=1)
-            sums = np.where(last, total - before, 0.0)
-            norm = np.sqrt((sums * sums).sum(axis=1))
-            out[at] += (sums * table[code]).sum(axis=1) / np.where(norm > 0, norm, 1.0)
+        for n, table, norm in zip(ORDERS, tables, own_kernel(rows)):
+            if len(rows) >= n:
+                code, weight = subsequences(rows, n)
+                out[at] += (weight * table[code]).sum(axis=0) / np.sqrt(np.where(norm > 0, norm, 1.0))
     return out / len(ORDERS)
 
 
@@ -178,14 +195,15 @@ class Model:
         return folded(keys, self.tables) + self.bias
 
     def learn(self, new: list[str]) -> None:
-        owner, keys = [], []
+        of: dict[bytes, int] = {}  # strings that differ in case, accents or punctuation share a key
+        owner, key = [], []
         for i, s in enumerate(new):
-            own = pieces(s)
-            owner += [i] * len(own)
-            keys += own
+            for k in pieces(s):
+                owner.append(i)
+                key.append(of.setdefault(k, len(of)))
         best = np.full(len(new), self.floor)
-        if keys:
-            np.maximum.at(best, np.array(owner), self.of_keys(keys))
+        if of:
+            np.maximum.at(best, np.array(owner), self.of_keys(list(of))[np.array(key)])
         self.seen.update(zip(new, best.tolist()))
 
     def most(self, texts: list[str | None]) -> np.ndarray:
@@ -232,10 +250,22 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, st
     return w, b
 
 
+def unlike(texts: list[set[bytes]]) -> list[set[bytes]]:
+    """``texts`` without most near copies of earlier ones (by two bands of three least hashes), which would count a chance word often."""
+    seen, out = set(), []
+    for x in texts:
+        least = [min(crc32(k, salt) for k in x) for salt in range(6)]
+        bands = {(i, *least[i : i + 3]) for i in (0, 3)}
+        if not bands & seen:
+            out.append(x)
+        seen |= bands
+    return out
+
+
 def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 3) -> Model:
     """``toxic``, ``clean``: the keys of each labelled text."""
     flat = Model([np.zeros(LETTERS**n, np.float32) for n in ORDERS], 0.0, floor=0.0, shift=-3.0)
-    toxic, clean = [x for x in toxic if x], [x for x in clean if x]
+    toxic, clean = unlike([x for x in toxic if x]), unlike([x for x in clean if x])
     if not toxic or not clean:
         return flat
     hot, cold = Counter(k for x in toxic for k in x), Counter(k for x in clean for k in x)
@@ -243,36 +273,61 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 3) ->
     def odds(k: bytes) -> float:
         return np.log((hot[k] + 0.5) / (len(toxic) + 1)) - np.log((cold[k] + 0.5) / (len(clean) + 1))
 
-    # a witness for each toxic text: at first its string with the best odds
+    def standing(n: int, of: int, k: bytes) -> float:
+        """Standard deviations by which a string in n of so many toxic texts stands out against the clean ones; 0 unless it is e**2 times as likely."""
+        a, b, both = n / of, cold[k] / len(clean), (n + cold[k]) / (of + len(clean))
+        clear = np.log((n + 0.5) / (of + 1)) - np.log((cold[k] + 0.5) / (len(clean) + 1)) >= 2
+        return float((a - b) / np.sqrt(both * (1 - both) * (1 / of + 1 / len(clean)))) if clear and both < 1 else 0.0
+
+    # telling strings: the one that stands out most, then that which does in the toxic texts without it, and so on, so that
+    # words which merely come along with an insult in copies of a text aren't taken for one
+    sure: set[bytes] = set()
+    left, best = toxic, 0.0
+    while left:
+        own = Counter(k for x in left for k in x)
+        top = max(own, key=lambda k: (standing(own[k], len(left), k), k))
+        if standing(own[top], len(left), top) < SURE or own[top] < max(3, FEW * len(toxic)):
+            break
+        best = best or standing(own[top], len(left), top)
+        sure.add(top)
+        left = [x for x in left if top not in x]
+    sure |= {k for k in hot if best and standing(hot[k], len(toxic), k) >= 0.7 * best}
+
     ranked = sorted(hot, key=lambda k: (-hot[k] * max(0.0, odds(k)), k))
-    landmarks = ranked[: LANDMARKS // 2] + sorted(cold, key=lambda k: (-cold[k], k))[: LANDMARKS - LANDMARKS // 2]
-    landmarks = list(dict.fromkeys(landmarks))
+    negatives = sorted(cold, key=lambda k: (-cold[k], k))
+    landmarks = list(dict.fromkeys(sorted(sure)[: LANDMARKS // 2] + ranked[: LANDMARKS // 2] + negatives[: LANDMARKS // 2]))
     base = [[phi(k, n) for k in landmarks] for n in ORDERS]
     gram = np.array([[sum(sum(w * b[j].get(c, 0.0) for c, w in b[i].items()) for b in base) / len(ORDERS) for j in range(len(landmarks))] for i in range(len(landmarks))])
     value, vector = np.linalg.eigh(gram)
     good = value > 1e-6 * value[-1]
     white = vector[:, good] / np.sqrt(value[good])
-    units = [tables_of([k], np.ones(1)) for k in []]  # noqa: F841
+    index: list[dict[int, list[tuple[int, float]]]] = [{} for _ in ORDERS]
+    for own, known in zip(base, index):
+        for j, x in enumerate(own):
+            for c, w in x.items():
+                known.setdefault(c, []).append((j, w))
 
     def features(keys: list[bytes]) -> np.ndarray:
         k = np.zeros((len(keys), len(landmarks)))
-        for n, own in zip(ORDERS, base):
-            index: dict[int, list[tuple[int, float]]] = {}
-            for j, x in enumerate(own):
-                for c, w in x.items():
-                    index.setdefault(c, []).append((j, w))
+        for n, known in zip(ORDERS, index):
             for i, key in enumerate(keys):
                 for c, w in phi(key, n).items():
-                    for j, v in index.get(c, ()):
+                    for j, v in known.get(c, ()):
                         k[i, j] += w * v
         return (k / len(ORDERS)) @ white
 
-    negatives = sorted(cold, key=lambda k: (-cold[k], k))
     rng = np.random.default_rng(11)
     common, rare = negatives[: CLEAN // 3], negatives[CLEAN // 3 :]
     negatives = common + [rare[i] for i in rng.permutation(len(rare))[: CLEAN - len(common)]]
     x_neg = features(negatives)
-    witness = [max(x, key=lambda k: (odds(k) * min(hot[k], 5), k)) for x in toxic]
+    # a toxic text's witnesses are its telling strings; texts without one are left out as mislabelled, unless most are so:
+    # then its witness is the string of the best odds, later the one that the machine finds most toxic
+    alone = len(left) > len(toxic) / 2
+
+    def witnesses(rank) -> list[bytes]:
+        return [k for x in toxic for k in (x & sure or ({max(x, key=rank)} if alone else ()))]
+
+    witness = witnesses(lambda k: (odds(k) * min(hot[k], 5), k))
     model = flat
     for turn in range(rounds):
         found = Counter(witness)
@@ -293,7 +348,7 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 3) ->
                     negatives, x_neg = negatives + worst, np.r_[x_neg, features(worst)]
             every = sorted(hot)
             z = dict(zip(every, model.of_keys(every)))
-            witness = [max(x, key=lambda k: (z[k], k)) for x in toxic]
+            witness = witnesses(lambda k: (z[k], k))
     model.floor = float(min(b, -1.0))
     return model
 
@@ -310,11 +365,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [keys_of(t) for t in b["text"]]
-            yield b.drop(columns="text").assign(keys=[b"\n".join(bytes(c + 32 for c in k) for k in sorted(x)) for x in keys])
+            yield b.drop(columns="text").assign(keys=[b"\n".join(k.translate(SHIFT) for k in sorted(x)) for x in keys])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = picked.mapInPandas(of, "doc_id long, y int, check boolean, keys binary").toPandas().sort_values("doc_id", kind="stable")
-    sets = [{bytes(c - 32 for c in k) for k in bytes(x).split(b"\n") if k} for x in rows["keys"]]
+    known: dict[bytes, bytes] = {}  # texts share most strings; keep one of each
+    sets = [{known.setdefault(k, k.translate(UNSHIFT)) for k in bytes(x).split(b"\n") if k} for x in rows["keys"]]
     y, check = rows["y"].to_numpy(int), rows["check"].to_numpy(bool)
     del rows
     model = train([s for s, t, c in zip(sets, y, check) if t == 1 and not c], [s for s, t, c in zip(sets, y, check) if t == 0 and not c])
