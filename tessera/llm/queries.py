@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, toxicity, warc
+from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, toxicity, vectors, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=4.0).select("doc_id", "source", "epoch")
 
 
+def op7_embedding_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc = warc.write_arc(read(spark, sf_dir, "pages"))
     records = warc.read_warc(spark, warc.convert(spark, arc))
@@ -59,7 +63,7 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op8_warc_from_arc, op9_toxicity_kernel)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op7_embedding_cross_polytope, op8_warc_from_arc, op9_toxicity_kernel)}
 
 
 OP5_SQL = f"""
