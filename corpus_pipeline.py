@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to token ids, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's ``docs``.  All but the last return the columns of ``documents``.
+
+1. quality rules: documents that fail a count or the calibrated classifier go;
+2. SimHash near-dedup: of each group of linked fingerprints the document with the least id stays;
+3. PII: entities are replaced by keyed surrogates, and n_chars follows the text;
+4. mixing: every document stays, those of small sources up to twice, by temperature weights;
+5. BPE: token ids of the whole text, and whether they decode to it.
+
+Nulls, empty and very long texts, repeated rows and empty tables are as the operators' docstrings say.  SQL can't
+express stages 1 to 3 and 5; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, mixing, pii, quality_rules, simhash
+from tessera.llm.queries import SURROGATE_KEY, read
+from tessera.runtime import store
+
+MAX_REPEATS = 2.0
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.accepted(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    grown = docs.withColumn("__n", F.length("text"))
+    out = pii.pseudonymise(grown, SURROGATE_KEY)
+    return out.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.length("text") - F.col("__n"), F.col("n_chars"))).drop("__n")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("epoch")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary)
+    return out.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("pii surrogates", surrogates), ("source mixing", mixed), ("bpe encoding", encoded)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the ``documents`` of ``sf_dir``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, mixing, quality_pu, quality_rules, simhash, toxicity, vectors, warc
+from tessera.llm import bpe, chat, mixing, pii, quality_pu, quality_rules, simhash, toxicity, vectors, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,8 +62,17 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+#: The key of the surrogates; a production run gives its own.
+SURROGATE_KEY = b"tessera surrogates, default key"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = SURROGATE_KEY) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.replaced(docs, key).alias("p")).select("doc_id", "p.text", F.size("p.kinds").alias("n_entities"), F.array_sort("p.kinds").alias("kinds"), "p.surrogates")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op7_embedding_cross_polytope, op8_warc_from_arc, op9_toxicity_kernel)}
+    return {f.__name__: f for f in (op1_simhash_vptree, op2_quality_pu, op3_quality_rules, op4_bpe, op5_chat_windows, op6_temperature_mixing, op7_embedding_cross_polytope, op8_warc_from_arc, op9_toxicity_kernel, op10_pii_surrogates)}
 
 
 OP5_SQL = f"""
