@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textnum import slices
+
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; beyond it starts anew.
@@ -151,7 +153,7 @@ def encoder(docs: DataFrame, vocabulary: Vocabulary):
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in (x for b in batches for x in slices(b)):
             yield pd.Series(shared.value.encode(s.tolist()), dtype=object)
 
     return of
@@ -163,7 +165,7 @@ def decoder(docs: DataFrame, vocabulary: Vocabulary):
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in (x for b in batches for x in slices(b)):
             yield pd.Series(shared.value.decode(s.tolist()), dtype=object)
 
     return of
@@ -175,7 +177,7 @@ def coder(docs: DataFrame, vocabulary: Vocabulary):
 
     @F.pandas_udf("ids binary, decoded string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in (x for b in batches for x in slices(b)):
             ids = shared.value.encode(s.tolist())
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(shared.value.decode(ids), dtype=object)})
 

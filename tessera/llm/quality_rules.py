@@ -102,16 +102,18 @@ def judged(model: Model, docs: DataFrame, text: str = "text") -> Column:
     """A struct column: the counts, base_failed, probability, kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in COUNTS} | {"base_failed": pd.Series(dtype=bool), "probability": pd.Series(dtype=float), "kept": pd.Series(dtype=bool)})
+
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in (x for b in batches for x in textnum.slices(b)):
             out = []
             for _, t in textnum.batches(s.tolist()):
                 own = counts(t)
                 failed = (own["n_words"] < MIN_WORDS) | (100 * own["n_repeat_words"] > MAX_REPEAT_PERCENT * own["n_words"])
                 p = shared.value.probability(linear.score_texts(t, shared.value.weights))
                 out.append(pd.DataFrame(own | {"base_failed": failed, "probability": p, "kept": ~failed & (p >= ACCEPT)}))
-            yield pd.concat(out, ignore_index=True)
+            yield pd.concat(out or [empty], ignore_index=True)
 
     return of(F.col(text))
 

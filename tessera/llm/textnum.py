@@ -14,7 +14,7 @@ import numpy as np
 MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = np.uint64(pow(int(MULT), -1, 2**64))
 #: Bytes hashed at once; the power tables grow to this, or to the longest text.
-SPAN = 4 << 20
+SPAN = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -102,6 +102,15 @@ class Texts:
         return doc[inside], code[inside]
 
 
+#: Rows of an Arrow batch that an operator works on, and gives back, at once.
+ROWS = 512
+
+
+def slices(s):
+    """Parts of a series, so that what is made of a whole Arrow batch is never held."""
+    return (s.iloc[i : i + ROWS] for i in range(0, len(s), ROWS)) if len(s) else [s]
+
+
 def batches(texts: list[str | None]) -> Iterator[tuple[int, Texts]]:
     """(index of the first text, Texts) for runs of about SPAN bytes; a longer text is a run of its own."""
     i = 0
