@@ -28,7 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textnum import slices
+
 ROUNDS = 6
+#: Characters of a text that are moved as one number.
+LONG = 96
 
 # Given names by script and gender, and titles with the gender they tell.
 GIVEN = {
@@ -84,8 +88,8 @@ class Surrogates:
     known: dict = field(default_factory=dict, repr=False)
 
     def _f(self, tag: str, i: int, x: int, size: int) -> int:
-        h = hashlib.blake2b(f"{tag}\0{i}\0{x}".encode(), key=self.key[:64], digest_size=32 + size.bit_length() // 8)
-        return int.from_bytes(h.digest(), "big") % size
+        h = hashlib.shake_256(hashlib.sha256(self.key).digest() + f"{tag}\0{i}\0{x:x}".encode("utf-8", "surrogatepass"))
+        return int.from_bytes(h.digest(16 + size.bit_length() // 8), "big") % size
 
     def _cipher(self, x: int, n: int, tag: str, back: bool) -> int:
         """A Feistel cipher over a square no smaller than n, walked until it falls below n."""
@@ -109,6 +113,13 @@ class Surrogates:
 
     def spell(self, text: str, tag: str, alphabet=None) -> str:
         """Another text of the same format: each character varies in its class, or stays if it has none."""
+        if len(text) > LONG:  # part by part, each under the parts before it, which keeps long texts distinct too
+            parts = [text[i : i + LONG] for i in range(0, len(text), LONG)]
+            seen, out = hashlib.sha256(tag.encode()), []
+            for p in parts:
+                out.append(self.spell(p, f"{tag}\0{len(text)}\0{seen.hexdigest()}", alphabet))
+                seen.update(p.encode("utf-8", "surrogatepass"))
+            return "".join(out)
         own = [(alphabet or plain_class)(c) for c in text]
         sizes = [len(s) if s else 1 for s in own]
         x = 0
@@ -295,7 +306,7 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text") -> Column:
     @F.pandas_udf("text string, kinds array<string>, originals array<string>, surrogates array<string>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Surrogates(key)
-        for s in batches:
+        for s in (x for b in batches for x in slices(b)):
             rows = [replace(t, own) for t in s]
             yield pd.DataFrame({"text": pd.Series([t for t, _ in rows], dtype=object)} | {n: pd.Series([[x[i] for x in told] for _, told in rows], dtype=object) for i, n in enumerate(("kinds", "originals", "surrogates"))})
 

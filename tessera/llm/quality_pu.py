@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import linear
+from tessera.llm.textnum import slices
 from tessera.runtime import store
 
 #: The bound of the sample that the model is fitted on.
@@ -122,7 +123,7 @@ def raw_score(docs: DataFrame, weights: np.ndarray):
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
+        for s in (x for b in texts for x in slices(b)):
             yield pd.Series(linear.scores(s.tolist(), shared.value))
 
     return of

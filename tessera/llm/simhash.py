@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import vptree
 from tessera.llm.components import components
+from tessera.llm.textnum import slices
 from tessera.runtime import store
 
 SEED, DISTANCE, SHARD, MAX_DEPTH = 42, 3, 8192, 16
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
+        for s in (x for b in texts for x in slices(b)):
             yield pd.Series(np.array([fingerprint(x, width) for x in s], np.uint64).view(np.int64))
 
     return docs.withColumn(name, of(F.col(text)))

@@ -71,6 +71,13 @@ def test_long_text():
     assert [k for k, _, _ in found][:1] == ["email"] and "10.2.3.4" not in text
 
 
+def test_long_secrets():
+    for n in (90, 97, 500, 50_000):
+        a, b = "password=" + "aZ9-" * (n // 4), "password=" + "aZ9-" * (n // 4 - 1) + "aZ8-"
+        x, y = told(a)[0], told(b)[0]
+        assert len(x) == len(a) and x != y and x != a and y != b
+
+
 def test_rows(spark):
     rows = [(1, "a@b.example.com", "s", "p"), (1, "a@b.example.com", "s", "p"), (None, None, None, None), (2, "", "s", "p"), (3, PERSON, None, "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, surrogates string")
