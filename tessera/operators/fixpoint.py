@@ -28,16 +28,13 @@ class Known:
 
     parts: list[Stored] = field(default_factory=list)
     news: Stored | None = None
+    size: int | None = None  # of the news, once counted
 
     @property
     def df(self) -> DataFrame:
         return reduce(DataFrame.unionAll, [p.df for p in self.parts])
 
 
-def same_key(relation: Relation, a: DataFrame, b: DataFrame):
-    return lower.all_of([a[f"`{k}`"].eqNullSafe(b[f"`{k}`"]) for k in (relation.keys if relation.lattices else relation.columns)])
-
-
 def unknown(relation: Relation, made: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``made`` that are new, or better in a lattice column than what is known."""
     if not relation.lattices:
@@ -79,7 +76,7 @@ class Fixpoint:
         for round_ in range(1, self.max_rounds + 1):
             fresh = {}
             for t in tables:
-                ways = [self.derive(r, self.frames(r, i, known)) for r in recursive if r.head.relation is t for i in sorted(r.recursive) if not known[r.body[i].relation].news.df.isEmpty()]
+                ways = [self.derive(r, self.frames(r, i, known)) for r in recursive if r.head.relation is t for i in sorted(r.recursive) if known[r.body[i].relation].size != 0]
                 if ways:
                     cand = lower.normalised(reduce(DataFrame.unionAll, ways), t, self.provenance)
                     fresh[t] = Stored(self.spark, unknown(t, cand, known[t].df), t.name)
@@ -102,7 +99,7 @@ class Fixpoint:
     def advance(self, t: Relation, k: Known, news: Stored | None, size: int) -> None:
         if news is None:
             news = Stored(self.spark, k.parts[0].df.limit(0), t.name)
-        old = k.news
+        old, k.size = k.news, size
         if not size:
             k.news = news
         elif t.lattices:

@@ -1,11 +1,485 @@
-"""Queries over the supplied tables, one or more per operator of the engine, and the same in DuckDB SQL."""
+"""Queries over the supplied tables, one or more per operator of the engine, and the same in DuckDB SQL.
+
+Every query is a program run over whole tables.  ``G`` is a weighted graph of suppliers and parts, ``TREE`` the
+halving tree of part numbers, which the recursive queries walk.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import BOT, IGNORE, WITH_ELEMENTS, LVar, Program, bind, call, custom, enumerate_, guard, iterate, lbitset, lmax, lmin, lset, variables, xrange
+from tessera.inspect import export_json
+from tessera.program import Relation
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query by its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Setting:
+    """A program over the tables of a folder: ``ext("nation", "n_nationkey", "n_name")`` is a source of some columns."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, **options):
+        self.p, self.dir = Program(spark, name, **options), sf_dir
+
+    def df(self, table: str) -> DataFrame:
+        return self.p.spark.read.parquet(f"{self.dir}/{table}.parquet")
+
+    def ext(self, table: str, *columns: str, name: str | None = None) -> Relation:
+        df = self.df(table)
+        return self.p.external(df.select(*columns) if columns else df, name or table)
+
+    def graph(self) -> Relation:
+        """Edges (u, v, w): suppliers to part classes, by the cheapest first line of 49 pieces and more at a small discount."""
+        line = self.df("lineitem").filter("l_quantity >= 49 and l_linenumber = 1 and l_discount <= 0.01")
+        edges = line.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100 + 1).alias("v")).agg(F.min(F.round(F.col("l_extendedprice") * 100)).cast("long").alias("w"))
+        return self.p.external(edges, "G")
+
+    def tree(self) -> Relation:
+        parts = self.df("part").filter("p_partkey > 1").select(F.col("p_partkey").alias("c"), F.expr("p_partkey div 2").alias("p"))
+        return self.p.external(parts, "T")
+
+    def sink(self, columns: dict, *body) -> DataFrame:
+        self.p.emit("out", columns, *body)
+        return self.p.run("out")
+
+    def result(self, *columns: str, **types) -> Relation:
+        return self.p.table("H", **{**dict.fromkeys(columns, "long"), **types})
+
+
+G = """g AS (SELECT l_suppkey AS u, l_partkey % 100 + 1 AS v, CAST(min(round(l_extendedprice * 100)) AS BIGINT) AS w FROM lineitem
+  WHERE l_quantity >= 49 AND l_linenumber = 1 AND l_discount <= 0.01 GROUP BY ALL)"""
+TREE = "t AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey > 1)"
+CLOSURE = f"WITH RECURSIVE {G}, r AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u)"
+
+a, b, c, d, e, k, n, s, u, v, w, x, y, z = variables("a b c d e k n s u v w x y z")
+
+
+# scans, projections, filters
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def scan_external(spark, sf):
+    q = Setting(spark, sf, "scan_external")
+    return q.sink({"n_nationkey": a, "n_name": b, "n_regionkey": c}, q.ext("nation")(a, b, c))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000")
+def scan_filtered_source(spark, sf):
+    q = Setting(spark, sf, "scan_filtered_source")
+    rich = q.p.external(q.df("customer").filter("c_acctbal > 5000").select("c_custkey", "c_acctbal"), "rich")
+    return q.sink({"c_custkey": a, "c_acctbal": b}, rich(a, b))
+
+
+@query("SELECT n_regionkey AS region, n_name AS name FROM nation")
+def project_rename(spark, sf):
+    q = Setting(spark, sf, "project_rename")
+    return q.sink({"region": c, "name": b}, q.ext("nation", "n_nationkey", "n_name", "n_regionkey")(a, b, c))
+
+
+@query("SELECT c_nationkey AS nation FROM customer")
+def wildcard_project(spark, sf):
+    q = Setting(spark, sf, "wildcard_project")
+    return q.sink({"nation": k}, q.ext("customer")(IGNORE, IGNORE, k, IGNORE, IGNORE))
+
+
+@query("SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+def distinct_project(spark, sf):
+    q = Setting(spark, sf, "distinct_project")
+    h = q.result("nation", segment="string")
+    q.p.rule(h(k, s), q.ext("customer", "c_nationkey", "c_mktsegment")(k, s))
+    return q.p.run(h)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
+def const_filter(spark, sf):
+    q = Setting(spark, sf, "const_filter")
+    return q.sink({"l_orderkey": a, "l_linenumber": b}, q.ext("lineitem", "l_orderkey", "l_linenumber", "l_returnflag")(a, b, "R"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 50000 AND l_quantity < 40")
+def guard_filter(spark, sf):
+    q = Setting(spark, sf, "guard_filter")
+    line = q.ext("lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return q.sink({"l_orderkey": a, "l_linenumber": b, "l_extendedprice": c}, line(a, b, c, d), guard((c > 50000) & (d < 40)))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey AS same FROM lineitem WHERE l_suppkey = l_partkey")
+def repeated_var(spark, sf):
+    q = Setting(spark, sf, "repeated_var")
+    return q.sink({"l_orderkey": a, "l_linenumber": b, "same": k}, q.ext("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")(a, b, k, k))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
+def bind_expr(spark, sf):
+    q = Setting(spark, sf, "bind_expr")
+    line = q.ext("lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    return q.sink({"l_orderkey": a, "l_linenumber": b, "revenue": e}, line(a, b, c, d), bind(e, c * (1 - d)))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = p_partkey % 50 + 1")
+def bind_check(spark, sf):
+    q = Setting(spark, sf, "bind_check")
+    return q.sink({"p_partkey": a}, q.ext("part", "p_partkey", "p_size")(a, b), bind(b, a % 50 + 1))
+
+
+@query("SELECT n_nationkey, n_regionkey, length(n_name) AS len FROM nation")
+def whole_row_struct(spark, sf):
+    q = Setting(spark, sf, "whole_row_struct")
+    nation = q.ext("nation", "n_nationkey", "n_name", "n_regionkey")
+    return q.sink({"n_nationkey": a.field("n_nationkey"), "n_regionkey": k, "len": call(F.length, a.field("n_name"))}, nation(a, WITH_ELEMENTS, IGNORE, IGNORE, k))
+
+
+@query("SELECT r_regionkey, r_name, 7 AS seven, 'const' AS word FROM region")
+def head_constant(spark, sf):
+    q = Setting(spark, sf, "head_constant")
+    h = q.p.table("H", r_regionkey="int", r_name="string", seven="int", word="string")
+    q.p.rule(h(a, b, 7, "const"), q.ext("region")(a, b))
+    return q.p.run(h)
+
+
+# joins
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_inner(spark, sf):
+    q = Setting(spark, sf, "join_inner")
+    return q.sink({"c_custkey": a, "n_name": b}, q.ext("customer", "c_custkey", "c_nationkey")(a, k), q.ext("nation", "n_nationkey", "n_name")(k, b))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def join_multiway(spark, sf):
+    q = Setting(spark, sf, "join_multiway")
+    nation = q.ext("nation", "n_nationkey", "n_name", "n_regionkey")
+    return q.sink({"c_custkey": a, "n_name": b, "r_name": c}, q.ext("customer", "c_custkey", "c_nationkey")(a, k), nation(k, b, n), q.ext("region")(n, c))
+
+
+@query("SELECT x.r_name AS one, y.r_name AS other FROM region x, region y")
+def join_cross(spark, sf):
+    q = Setting(spark, sf, "join_cross")
+    region = q.ext("region")
+    return q.sink({"one": a, "other": b}, region(IGNORE, a), region(IGNORE, b))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+def semi_join_point(spark, sf):
+    q = Setting(spark, sf, "semi_join_point")
+    return q.sink({"n_nationkey": k, "n_name": b}, q.ext("nation", "n_nationkey", "n_name")(k, b), q.ext("supplier", "s_nationkey")(k))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey AND s_nationkey = c_nationkey)")
+def anti_join(spark, sf):
+    q = Setting(spark, sf, "anti_join")
+    return q.sink({"c_custkey": k, "c_nationkey": n}, q.ext("customer", "c_custkey", "c_nationkey")(k, n), ~q.ext("supplier", "s_suppkey", "s_nationkey")(k, n))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def anti_join_wildcard(spark, sf):
+    q = Setting(spark, sf, "anti_join_wildcard")
+    return q.sink({"o_orderkey": k}, q.ext("orders", "o_orderkey")(k), ~q.ext("lineitem", "l_orderkey", "l_partkey", "l_returnflag")(k, IGNORE, "R"))
+
+
+@query("SELECT x.c_custkey AS one, y.s_suppkey AS other FROM customer x JOIN supplier y ON x.c_nationkey = y.s_nationkey AND x.c_acctbal < y.s_acctbal")
+def theta_join(spark, sf):
+    q = Setting(spark, sf, "theta_join")
+    one, other = q.ext("customer", "c_custkey", "c_nationkey", "c_acctbal"), q.ext("supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    return q.sink({"one": a, "other": b}, one(a, k, x), other(b, k, y), guard(x < y))
+
+
+TRADE = """e AS (SELECT DISTINCT s_nationkey AS u, c_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_extendedprice > 100000 AND l_shipdate >= TIMESTAMP '1996-01-01')"""
+
+
+def trade(q: Setting) -> Relation:
+    """Pairs of nations with a dear late sale from one to the other, as a table."""
+    h = q.p.table("E", u="int", v="int")
+    late = q.df("lineitem").filter("l_extendedprice > 100000 and l_shipdate >= timestamp_ntz'1996-01-01'").select("l_orderkey", "l_suppkey")
+    q.p.rule(h(u, v), q.p.external(late, "late")(a, b), q.ext("orders", "o_orderkey", "o_custkey")(a, c), q.ext("customer", "c_custkey", "c_nationkey")(c, v), q.ext("supplier", "s_suppkey", "s_nationkey")(b, u))
+    return h
+
+
+@query(f"WITH {TRADE} SELECT p.u AS a, p.v AS b, q.v AS c FROM e p JOIN e q ON p.v = q.u JOIN e r ON q.v = r.u AND r.v = p.u WHERE p.u <> p.v AND p.v <> q.v AND p.u <> q.v")
+def triangle(spark, sf):
+    q = Setting(spark, sf, "triangle")
+    h = trade(q)
+    return q.sink({"a": a, "b": b, "c": c}, h(a, b), h(b, c), guard((a != b) & (b != c) & (a != c)), h(c, a))
+
+
+@query(f"WITH {TRADE} SELECT p.u AS a, p.v AS b, q.v AS c FROM e p JOIN e q ON p.v = q.u WHERE p.u <> p.v AND p.v <> q.v AND p.u <> q.v AND NOT EXISTS (SELECT 1 FROM e r WHERE r.u = q.v AND r.v = p.u)")
+def almost_triangle(spark, sf):
+    q = Setting(spark, sf, "almost_triangle")
+    h = trade(q)
+    return q.sink({"a": a, "b": b, "c": c}, h(a, b), h(b, c), guard((a != b) & (b != c) & (a != c)), ~h(c, a))
+
+
+# set operations
+
+
+@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_rules(spark, sf):
+    q = Setting(spark, sf, "union_rules")
+    h = q.p.table("H", nation="int")
+    q.p.rule(h(k), q.ext("customer", "c_nationkey")(k))
+    q.p.rule(h(k), q.ext("supplier", "s_nationkey")(k))
+    return q.p.run(h)
+
+
+@query("SELECT o_custkey AS key FROM orders INTERSECT SELECT l_partkey FROM lineitem")
+def intersect_rules(spark, sf):
+    q = Setting(spark, sf, "intersect_rules")
+    h = q.result("key")
+    q.p.rule(h(k), q.ext("orders", "o_custkey")(k), q.ext("lineitem", "l_partkey")(k))
+    return q.p.run(h)
+
+
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50")
+def except_rules(spark, sf):
+    q = Setting(spark, sf, "except_rules")
+    h = q.result("key")
+    q.p.rule(h(k), q.ext("part", "p_partkey")(k), ~q.ext("lineitem", "l_partkey", "l_quantity")(k, 50.0))
+    return q.p.run(h)
+
+
+# sinks
+
+
+@query("SELECT o_orderpriority AS priority, l_returnflag AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def emit_bag(spark, sf):
+    q = Setting(spark, sf, "emit_bag")
+    return q.sink({"priority": a, "flag": b}, q.ext("orders", "o_orderkey", "o_orderpriority")(k, a), q.ext("lineitem", "l_orderkey", "l_returnflag")(k, b))
+
+
+@query("SELECT l_returnflag AS flag, sum(l_linenumber)::BIGINT AS total, count(*) AS n FROM lineitem GROUP BY ALL")
+def fold_sum(spark, sf):
+    q = Setting(spark, sf, "fold_sum")
+    bag = q.sink({"flag": a, "j": b}, q.ext("lineitem", "l_returnflag", "l_linenumber")(a, b))
+    return bag.groupBy("flag").agg(F.sum("j").alias("total"), F.count("j").alias("n"))
+
+
+@query()
+def export_json_table(spark, sf):
+    q = Setting(spark, sf, "export_json")
+    shown = export_json(q.sink({"key": a, "name": b}, q.ext("region")(a, b)), ["number", "label"])
+    return spark.createDataFrame([(h, [str(r[i]) for r in shown["data"]]) for i, h in enumerate(shown["columns"])], "heading string, cells array<string>")
+
+
+@query()
+def constraint_rule(spark, sf):
+    q = Setting(spark, sf, "constraint")
+    q.p.constraint("an order without a customer", q.ext("orders", "o_custkey")(k), ~q.ext("customer", "c_custkey")(k))
+    return q.sink({"key": a}, q.ext("region")(a, IGNORE))
+
+
+# lattices
+
+
+@query("SELECT l_orderkey AS key, min(l_extendedprice) AS d FROM lineitem GROUP BY ALL")
+def agg_lmin(spark, sf):
+    return one_lattice(spark, sf, "agg_lmin", lmin("double"), "l_extendedprice")
+
+
+@query("SELECT l_orderkey AS key, max(l_extendedprice) AS d FROM lineitem GROUP BY ALL")
+def agg_lmax(spark, sf):
+    return one_lattice(spark, sf, "agg_lmax", lmax("double"), "l_extendedprice")
+
+
+@query("SELECT l_orderkey AS key, bit_or(1::BIGINT << l_linenumber)::BIGINT AS d FROM lineitem GROUP BY ALL")
+def agg_lbitset(spark, sf):
+    return one_lattice(spark, sf, "agg_lbitset", lbitset(), F.expr("shiftleft(1L, l_linenumber)").alias("bit"))
+
+
+@query("SELECT l_orderkey AS key, list_sort(list(DISTINCT l_suppkey)) AS d FROM lineitem GROUP BY ALL")
+def agg_lset(spark, sf):
+    return one_lattice(spark, sf, "agg_lset", lset(), "l_suppkey")
+
+
+@query("SELECT l_orderkey AS key, sum(DISTINCT l_linenumber)::BIGINT AS d FROM lineitem GROUP BY ALL")
+def agg_custom(spark, sf):
+    """A lattice of the caller's: sums of distinct powers, kept as a bit set and read back by a fold."""
+    bits = custom("bits", "bigint", F.bit_or, lambda p, q: p.bitwiseOR(q), lambda new, old: new.bitwiseAND(F.bitwise_not(old)) != 0)
+    df = one_lattice(spark, sf, "agg_custom", bits, F.expr("shiftleft(1L, l_linenumber)").alias("bit"))
+    return df.select("key", F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda t, i: t + F.when(F.getbit("d", i) == 1, i).otherwise(0)).alias("d"))
+
+
+def one_lattice(spark, sf, name, lattice, column) -> DataFrame:
+    q = Setting(spark, sf, name)
+    h = q.p.table("H", key="long", d=lattice)
+    q.p.rule(h(k, x), q.ext("lineitem", "l_orderkey", column)(k, x))
+    return q.p.run(h)
+
+
+@query("SELECT n_nationkey AS key, coalesce(bit_or(1::BIGINT << (s_suppkey % 60)), 0)::BIGINT AS d, min(s_suppkey) AS least FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY ALL")
+def agg_bottom(spark, sf):
+    q = Setting(spark, sf, "agg_bottom")
+    h = q.p.table("H", key="int", d=lbitset(), least=lmin())
+    q.p.rule(h(k, BOT, BOT), q.ext("nation", "n_nationkey")(k))
+    q.p.rule(h(k, call(lambda m: F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2), m % 60).cast("long"), a), a), q.ext("supplier", "s_suppkey", "s_nationkey", "s_acctbal")(a, k, x), guard(x > 9000))
+    return q.p.run(h)
+
+
+@query("SELECT max(l_extendedprice) AS hi, l_partkey AS key, min(l_quantity) AS lo FROM lineitem GROUP BY ALL")
+def lattice_two_cols(spark, sf):
+    q = Setting(spark, sf, "lattice_two_cols")
+    h = q.p.table("H", hi=lmax("double"), key="long", lo=lmin("double"))
+    q.p.rule(h(x, k, y), q.ext("lineitem", "l_partkey", "l_extendedprice", "l_quantity")(k, x, y))
+    return q.p.run(h)
+
+
+@query("SELECT l_partkey AS key, count(*) AS n, avg(l_linenumber) AS mean FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY ALL")
+def lset_count_avg(spark, sf):
+    q = Setting(spark, sf, "lset_count_avg")
+    pairs = lset("struct<s:bigint,n:int>")
+    out, res = q.p.table("out", key="long", d=pairs), q.p.table("H", key="long", n="long", mean="double")
+    q.p.rule(out(k, call(lambda p, r: F.struct(p.alias("s"), r.alias("n")), a, b)), q.ext("lineitem", "l_partkey", "l_suppkey", "l_linenumber")(k, a, b))
+    total = call(lambda ps: F.aggregate(ps, F.lit(0.0), lambda t, p: t + p["n"]), d)
+    q.p.rule(res(k, call(F.size, d), total / call(F.size, d)), out(k, d))
+    return q.p.run(res)
+
+
+@query("SELECT o.o_custkey AS key, greatest(max(o.o_totalprice), max(c_acctbal)) AS d FROM orders o JOIN customer ON o.o_custkey = c_custkey GROUP BY ALL")
+def lvar_lub_body(spark, sf):
+    q = Setting(spark, sf, "lvar_lub_body")
+    most = LVar("most", lmax("double"))
+    h = q.p.table("H", key="long", d=lmax("double"))
+    q.p.rule(h(k, most), q.ext("orders", "o_custkey", "o_totalprice")(k, most), q.ext("customer", "c_custkey", "c_acctbal")(k, most))
+    return q.p.run(h)
+
+
+# generators
+
+
+@query("SELECT p_partkey AS key, unnest(range(p_size, p_size * 4, p_size))::BIGINT AS multiple FROM part")
+def iterate_xrange(spark, sf):
+    q = Setting(spark, sf, "iterate_xrange")
+    return q.sink({"key": k, "multiple": x}, q.ext("part", "p_partkey", "p_size")(k, n), iterate(x, xrange(n, n * 4, n)))
+
+
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+def iterate_array(spark, sf):
+    q = Setting(spark, sf, "iterate_array")
+    return q.sink({"vec_id": k, "x": x}, q.ext("embeddings", "vec_id", "embedding")(k, a), iterate(x, a))
+
+
+@query("SELECT p_partkey AS key, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS at, unnest(string_split(p_type, ' ')) AS word FROM part")
+def enumerate_posexplode(spark, sf):
+    q = Setting(spark, sf, "enumerate_posexplode")
+    words = call(lambda t: F.split(t, " "), a)
+    return q.sink({"key": k, "at": call(lambda i: i.cast("long"), n), "word": w}, q.ext("part", "p_partkey", "p_type")(k, a), enumerate_(n, w, words))
+
+
+# recursion
+
+
+@query(CLOSURE + " SELECT u, v FROM r")
+def tc_linear(spark, sf):
+    q = Setting(spark, sf, "tc_linear")
+    g, r = q.graph(), q.p.table("R", "u long, v long")
+    q.p.rule(r(u, v), g(u, v, IGNORE))
+    q.p.rule(r(u, w), r(u, v), g(v, w, IGNORE))
+    return q.p.run(r)
+
+
+@query(f"WITH RECURSIVE {TREE}, r AS (SELECT c, p FROM t UNION SELECT r.c, t.p FROM r JOIN t ON r.p = t.c) SELECT c, p FROM r")
+def tc_nonlinear(spark, sf):
+    q = Setting(spark, sf, "tc_nonlinear")
+    t, r = q.tree(), q.p.table("R", "c long, p long")
+    q.p.rule(r(u, w), r(u, v), r(v, w))
+    q.p.rule(r(u, v), t(u, v))
+    return q.p.run(r)
+
+
+@query(CLOSURE + " SELECT u, v FROM r")
+def tc_manual_strata(spark, sf):
+    q = Setting(spark, sf, "tc_manual_strata")
+    g, r, h = q.graph(), q.p.table("R", "u long, v long"), q.result("u", "v")
+    q.p.rule(r(u, v), g(u, v, IGNORE))
+    q.p.rule(r(u, w), r(u, v), r(v, w))
+    q.p.rule(h(u, v), r(u, v))
+    q.p.strata([2, 1])
+    return q.p.run(h)
+
+
+@query(f"""WITH RECURSIVE {TREE}, r(c, p, odd) AS (SELECT c, p, true FROM t UNION SELECT r.c, t.p, NOT r.odd FROM r JOIN t ON r.p = t.c)
+SELECT c, p FROM r WHERE NOT odd""")
+def tc_mutual(spark, sf):
+    q = Setting(spark, sf, "tc_mutual")
+    t, odd, even = q.tree(), q.p.table("odd", "c long, p long"), q.p.table("even", "c long, p long")
+    q.p.rule(odd(u, v), t(u, v))
+    q.p.rule(even(u, w), odd(u, v), t(v, w))
+    q.p.rule(odd(u, w), even(u, v), t(v, w))
+    return q.p.run(even)
+
+
+@query(CLOSURE + ", nodes AS (SELECT u AS x FROM g UNION SELECT v FROM g) SELECT p.x AS u, q.x AS v FROM nodes p, nodes q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = p.x AND r.v = q.x)")
+def stratified_negation(spark, sf):
+    q = Setting(spark, sf, "stratified_negation")
+    g, r, node, h = q.graph(), q.p.table("R", "u long, v long"), q.p.table("N", "x long"), q.result("u", "v")
+    q.p.rule(h(u, v), node(u), node(v), ~r(u, v))
+    q.p.rule(r(u, w), r(u, v), g(v, w, IGNORE))
+    q.p.rule(r(u, v), g(u, v, IGNORE))
+    q.p.rule(node(u), g(u, IGNORE, IGNORE))
+    q.p.rule(node(v), g(IGNORE, v, IGNORE))
+    return q.p.run(h)
+
+
+APSP = f"WITH RECURSIVE {G}, r(u, v, d) USING KEY (u, v) AS (SELECT u, v, w FROM g UNION SELECT x.u, g.v, min(x.d + g.w) FROM r x JOIN g ON x.v = g.u LEFT JOIN recurring.r o ON o.u = x.u AND o.v = g.v WHERE o.d IS NULL OR x.d + g.w < o.d GROUP BY x.u, g.v) SELECT u, v, d FROM r"
+
+
+@query(APSP)
+def apsp_lmin(spark, sf):
+    q = Setting(spark, sf, "apsp_lmin")
+    g, r = q.graph(), q.p.table("R", u="long", v="long", d=lmin())
+    one, two, both = (LVar(name, lmin()) for name in ("d1", "d2", "d"))
+    q.p.rule(r(u, w, both), r(u, v, one), g(v, w, two), bind(both, one + two))
+    q.p.rule(r(u, v, one), g(u, v, one))
+    q.p.rule(r(u, v, BOT), g(u, v, IGNORE))
+    return q.p.run(r)
+
+
+@query(f"WITH RECURSIVE {TREE}, r(c, d) AS (SELECT 1::BIGINT, 0::BIGINT UNION ALL SELECT t.c, r.d + 1 FROM r JOIN t ON t.p = r.c) SELECT c, max(d) AS d FROM r GROUP BY ALL")
+def level_lmax(spark, sf):
+    q = Setting(spark, sf, "level_lmax")
+    t, h = q.tree(), q.p.table("H", c="long", d=lmax())
+    one = LVar("one", lmax())
+    q.p.rule(h(1, 0), t(IGNORE, 1))
+    q.p.rule(h(u, one + 1), h(v, one), t(u, v))
+    return q.p.run(h)
+
+
+@query(f"""WITH RECURSIVE {TREE}, r(c, p, h) AS (SELECT c, p, 1 FROM t UNION ALL SELECT r.c, t.p, r.h + 1 FROM r JOIN t ON r.p = t.c)
+SELECT c, p, min(h)::INTEGER AS _height, CASE WHEN min(h) = 1 THEN 0 ELSE 1 END AS _rule FROM r GROUP BY c, p""")
+def provenance_heights(spark, sf):
+    q = Setting(spark, sf, "provenance", provenance=True)
+    t, r = q.tree(), q.p.table("R", "c long, p long")
+    q.p.rule(r(u, v), t(u, v))
+    q.p.rule(r(u, w), r(u, v), t(v, w))
+    return q.p.run(r)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their nation and region, which has rows at any size."""
+    return join_multiway(spark, sf_dir)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
