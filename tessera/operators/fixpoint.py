@@ -24,28 +24,41 @@ GATHER = 12
 
 @dataclass
 class Known:
-    """What is known of a table: disjoint parts in the shared folder, and the last round's news."""
+    """What is known of a table: disjoint parts in the shared folder, the last of them the last round's news, or for a
+    lattice one part, whose column ``__new`` tells the news."""
 
     parts: list[Stored] = field(default_factory=list)
-    news: Stored | None = None
     size: int | None = None  # of the news, once counted
 
     @property
     def df(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, [p.df for p in self.parts])
+        return reduce(DataFrame.unionAll, [p.df.drop("__new") for p in self.parts])
+
+    @property
+    def news(self) -> DataFrame:
+        last = self.parts[-1].df
+        return last.filter("__new").drop("__new") if "__new" in last.columns else last
 
 
 def unknown(relation: Relation, made: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of ``made`` that are new, or better in a lattice column than what is known."""
-    if not relation.lattices:
-        old = known.select(*(F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(relation.columns)))
-        on = lower.all_of([F.col(f"`{n}`").eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(relation.columns)])
-        return made.join(old, on, "left_anti")
-    old = known.select(*(F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(relation.columns)), F.lit(True).alias("__there"))
-    place = {n: f"__k{i}" for i, n in enumerate(relation.columns)}
-    on = lower.all_of([F.col(f"`{n}`").eqNullSafe(F.col(place[n])) for n in relation.keys])
-    better = [t.better(F.col(f"`{n}`"), F.col(place[n])) for n, t in relation.lattices.items()]
-    return made.join(old, on, "left").filter(F.col("__there").isNull() | reduce(lambda a, b: a | b, better)).select(made["*"])
+    """Rows of a set that are new."""
+    old = known.select(*(F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(relation.columns)))
+    on = lower.all_of([F.col(f"`{n}`").eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(relation.columns)])
+    return made.join(old, on, "left_anti")
+
+
+def merged(relation: Relation, made: DataFrame, known: DataFrame, provenance: bool) -> DataFrame:
+    """A lattice table with what was made, in one aggregation; ``__new`` tells the keys that are new or better."""
+    extra = [lower.HEIGHT, lower.RULE] if provenance else []
+    cols = [*(F.col(f"`{n}`") for n in relation.columns), *extra]
+    both = known.select(*cols, F.lit(True).alias("__was")).unionAll(made.select(*cols, F.lit(False)))
+    was = lambda n: F.when(F.col("__was"), F.col(f"`{n}`"))
+    aggs = [t.merge(F.col(f"`{n}`")).alias(f"{n}") for n, t in relation.lattices.items()] + [t.merge(was(n)).alias(f"__old_{i}") for i, (n, t) in enumerate(relation.lattices.items())]
+    proof = [F.min(F.struct(*extra)).alias("__proof")] if provenance else []
+    out = both.groupBy(*(f"`{k}`" for k in relation.keys)).agg(*aggs, *proof, F.max("__was").alias("__there"))
+    better = [t.better(F.col(f"`{n}`"), F.col(f"__old_{i}")) for i, (n, t) in enumerate(relation.lattices.items())]
+    new = ~F.col("__there") | reduce(lambda a, b: a | b, better)
+    return out.filter(F.col("__there").isNotNull()).select(*(F.col(f"`{n}`") for n in relation.columns), *(F.col(f"__proof.{x}").alias(x) for x in extra), new.alias("__new"))
 
 
 class Fixpoint:
@@ -72,15 +85,18 @@ class Fixpoint:
         for t in tables:
             base = reduce(DataFrame.unionAll, made[t]) if made[t] else self.derive(next(r for r in rules if r.head.relation is t), {i: self.empty(e.relation) for r in rules if r.head.relation is t for i, e in enumerate(r.body) if isinstance(e, Atom) and i in r.recursive}).limit(0)
             first = Stored(self.spark, lower.normalised(base, t, self.provenance), t.name)
-            known[t] = Known([first], first)
+            known[t] = Known([first])
         for round_ in range(1, self.max_rounds + 1):
             fresh = {}
             for t in tables:
                 ways = [self.derive(r, self.frames(r, i, known)) for r in recursive if r.head.relation is t for i in sorted(r.recursive) if known[r.body[i].relation].size != 0]
                 if ways:
-                    cand = lower.normalised(reduce(DataFrame.unionAll, ways), t, self.provenance)
-                    fresh[t] = Stored(self.spark, unknown(t, cand, known[t].df), t.name)
-            sizes = {t.name: fresh[t].df.count() if t in fresh else 0 for t in tables}
+                    every = reduce(DataFrame.unionAll, ways)
+                    if t.lattices:
+                        fresh[t] = Stored(self.spark, merged(t, every, known[t].df, self.provenance), t.name)
+                    else:
+                        fresh[t] = Stored(self.spark, unknown(t, lower.normalised(every, t, self.provenance), known[t].df), t.name)
+            sizes = {t.name: (fresh[t].df.filter("__new") if t.lattices else fresh[t].df).count() if t in fresh else 0 for t in tables}
             if self.on_round:
                 self.on_round(round_, sizes)
             for t in tables:
@@ -94,30 +110,19 @@ class Fixpoint:
         return self.spark.createDataFrame([], ", ".join(f"`{n}` {t.type_of(n)}" for n in t.columns) + extra)
 
     def frames(self, rule: Rule, at: int, known: dict[Relation, Known]) -> dict[int, DataFrame]:
-        return {i: known[rule.body[i].relation].news.df if i == at else known[rule.body[i].relation].df for i in rule.recursive}
-
-    def advance(self, t: Relation, k: Known, news: Stored | None, size: int) -> None:
-        if news is None:
-            news = Stored(self.spark, k.parts[0].df.limit(0), t.name)
-        old, k.size = k.news, size
-        if not size:
-            k.news = news
-        elif t.lattices:
-            cols = [*(f"`{n}`" for n in t.columns), *([lower.HEIGHT, lower.RULE] if self.provenance else [])]
-            merged = Stored(self.spark, lower.normalised(k.df.select(*cols).unionAll(news.df.select(*cols)), t, self.provenance), t.name)
-            gone, k.parts = k.parts, [merged]
-            for p in gone:
-                if p is not old:
-                    p.drop()
-            # the next round reads the merged values of what is new
-            k.news = news
-        else:
-            k.parts, k.news = [*k.parts, news], news
-            if len(k.parts) > GATHER:
-                whole = Stored(self.spark, k.df, t.name)
-                gone, k.parts = k.parts, [whole]
-                for p in gone:
-                    if p is not news:
-                        p.drop()
-        if old is not k.news and old not in k.parts:
-            old.drop()
+        return {i: known[rule.body[i].relation].news if i == at else known[rule.body[i].relation].df for i in rule.recursive}
+
+    def advance(self, t: Relation, k: Known, made: Stored | None, size: int) -> None:
+        old, k.size = k.parts, size
+        if t.lattices:
+            if made is not None:
+                k.parts = [made]
+        elif size:
+            k.parts = [*k.parts, made]
+            if len(k.parts) > GATHER:  # the news stays a part of its own
+                k.parts = [Stored(self.spark, Known(k.parts[:-1]).df, t.name), made]
+        elif made is not None:
+            made.drop()
+        for p in old:
+            if p not in k.parts:
+                p.drop()
