@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.runtime import store
+
 #: Marks of the template.  TURN opens a turn, MID parts role and text, END closes it; HIST opens a repeated one.
 TURN, HIST, MID, END = "<s>[INST:", "<s>[HIST:", "]", "[/INST]</s>"
 #: What may be part of a mark; the escape, a backslash, is one of them.
@@ -78,12 +80,12 @@ def written(role: Column, text: Column, repeated: Column) -> Column:
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, formatted, loss): a window's text, and its loss mask as (start, length) in characters of it."""
-    rows = placed(turns, budget)
+    rows = store(placed(turns, budget), "turns")  # read for spans, at home and again
     spans = rows.groupBy("conv_id", "span").agg(F.min("pos").alias("first"), F.max(F.when(F.col("opens"), 1)).alias("opened"), F.count("pos").alias("n"))
     every = W.partitionBy("conv_id")
     following = W.partitionBy("conv_id").orderBy("span")
     spans = spans.withColumns({"window": F.row_number().over(following) - 1, "system": F.max("opened").over(every).isNotNull()})
-    spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "window", "system")
+    spans = store(spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "window", "system"), "spans")
     home = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s"))).select("conv_id", "window", "pos", "role", "text", F.lit(False).alias("repeated"), "opens")
     # repeated: the system turn, and the turns up to `history` places before a window's first
     need = spans.filter("window > 0").select(F.col("c"), F.col("window").alias("into"), F.explode(F.sequence(F.greatest(F.col("first") - history, F.lit(1)), F.col("first") - 1)).alias("q"))
