@@ -102,7 +102,7 @@ def wildcard_project(spark, sf):
 @query("SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment FROM customer")
 def distinct_project(spark, sf):
     q = Setting(spark, sf, "distinct_project")
-    h = q.result("nation", segment="string")
+    h = q.p.table("H", nation="int", segment="string")
     q.p.rule(h(k, s), q.ext("customer", "c_nationkey", "c_mktsegment")(k, s))
     return q.p.run(h)
 
@@ -143,7 +143,7 @@ def bind_check(spark, sf):
 def whole_row_struct(spark, sf):
     q = Setting(spark, sf, "whole_row_struct")
     nation = q.ext("nation", "n_nationkey", "n_name", "n_regionkey")
-    return q.sink({"n_nationkey": a.field("n_nationkey"), "n_regionkey": k, "len": call(F.length, a.field("n_name"))}, nation(a, WITH_ELEMENTS, IGNORE, IGNORE, k))
+    return q.sink({"n_nationkey": a.field("n_nationkey"), "n_regionkey": k, "len": call(lambda t: F.length(t).cast("long"), a.field("n_name"))}, nation(a, WITH_ELEMENTS, IGNORE, IGNORE, k))
 
 
 @query("SELECT r_regionkey, r_name, 7 AS seven, 'const' AS word FROM region")
