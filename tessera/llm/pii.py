@@ -11,8 +11,9 @@ Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numb
 IBANs, access keys, long hexadecimal tokens, values of password and token fields, and persons' names by title or
 known given name, then also their bare mentions in the same text.
 
-Cases: a null text stays null and an empty one empty; of overlapping entities the one found first in the order
-above, and then the first in the text, stands; rows keep their columns, order, ids and repeats; long texts are
+Cases: a null text stays null and an empty one empty; of overlapping entities the one found first in the order of
+``ORDER``, and then the first in the text, stands, but a number within a token or key is part of that; a name's
+possessive ending and initials stay; rows keep their columns, order, ids and repeats; long texts are
 searched whole; empty tables stay empty; a column named as the result is replaced.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import isqrt, prod
@@ -57,16 +59,25 @@ EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-
 NUMBER = re.compile(r"[+(]?\d[\d ().\-/]{5,}\d")
 IP = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
 SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
-PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)")
+PHONE = re.compile(
+    r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\w)"
+    r"|(?<![\w.])\+(?:[ .\-()]{0,2}\d){8,15}(?![\w])|(?<![\w.])0\d(?:[ .\-]\d\d){4}(?!\w)"  # by country code; in pairs
+)
 CARD = re.compile(r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_START = re.compile(r"\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
-HEX = re.compile(r"(?<![\w])[0-9a-f]{32,128}(?![\w])")
+HEX = re.compile(r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
 FIELD = re.compile(r"""\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"',;<>]{6,})""", re.I)
-WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’]*[\wà-öø-ÿа-яё]"
-TITLED = re.compile(rf"\b({'|'.join(sorted(GENDER_OF, key=len, reverse=True))})\.?[  ]({WORD})(?:[  ]({WORD}))?")
-NAMED = re.compile(rf"\b({'|'.join(sorted(LIST_OF, key=len, reverse=True))})[  ]({WORD})")
+UPPER = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
+WORD = rf"{UPPER}(?:\w|['’](?!s\b)(?=\w)|-(?={UPPER}))+"
+GAP = rf"[ \u00a0](?:{UPPER}\.[ \u00a0])*"
+TITLE = "|".join(sorted(GENDER_OF, key=len, reverse=True))
+TITLED = re.compile(rf"\b((?:{TITLE})(?:\.?[ \u00a0](?:{TITLE})\b)*)\.?{GAP}({WORD})(?:{GAP}({WORD}))?")
+NAMED = re.compile(rf"\b({'|'.join(sorted(LIST_OF, key=len, reverse=True))}){GAP}({WORD})")
+BARE = re.compile(rf"\b{WORD}")
+#: Which kind stands where two overlap.
+ORDER = ["email", "key", "iban", "ip", "card", "ssn", "phone", "secret", "given", "family"]
 
 
 def luhn(digits: str) -> int:
@@ -166,8 +177,8 @@ class Surrogates:
         return "".join(next(new) if c.isdigit() else c for c in v)
 
     def _phone(self, v: str, _) -> str:
-        n = len(re.sub(r"\D", "", v))
-        return self._digits(v, "phone", max(0, n - 10), True)
+        n, country = len(re.sub(r"\D", "", v)), re.match(r"\+(\d{1,3})[ .\-(]", v)
+        return self._digits(v, "phone", len(country[1]) if country else max(0, n - 10), True)
 
     def _ssn(self, v: str, _) -> str:
         return self._digits(v, "ssn")
@@ -202,8 +213,10 @@ class Surrogates:
         return v[:4] + self.spell(v[4:], f"key\0{v[:4]}")
 
     def _secret(self, v: str, _) -> str:
-        hexadecimal = re.fullmatch(r"[0-9a-f]+", v)
-        return self.spell(v, "hex", lambda c: "0123456789abcdef") if hexadecimal else self.spell(v, "secret")
+        for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+            if set(v) <= set(digits) and not v.isdigit():
+                return self.spell(v, "hex", lambda c: digits)
+        return self.spell(v, "secret")
 
     def _given(self, v: str, gender: str) -> str:
         if v in LIST_OF:
@@ -256,20 +269,23 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if kind != "ip" or all(int(x) < 256 for x in m.groups()):
                     found.append((*m.span(), kind))
     found += names(text)
+    secrets = sorted({(lo, hi) for lo, hi, kind in found if kind == "secret"})
     out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-    order = ["email", "key", "iban", "ip", "card", "ssn", "phone", "secret", "given", "family"]
-    for lo, hi, kind in sorted(set(found), key=lambda x: (order.index(x[2].partition(" ")[0]), x[0], -x[1])):
-        if all(hi <= a or lo >= b for a, b in taken):
-            taken.append((lo, hi))
-            out.append((lo, hi, kind))
-    return sorted(out)
+    for lo, hi, kind in sorted(set(found), key=lambda x: (ORDER.index(x[2].partition(" ")[0]), x[0], -x[1])):
+        if kind in ("ip", "card", "ssn", "phone"):
+            around = secrets[max(0, bisect(secrets, (lo, len(text))) - 1) :][:1]
+            if any(a <= lo and hi <= b and hi - lo < b - a for a, b in around):
+                continue
+        at = bisect(out, (lo,))
+        if (at == 0 or out[at - 1][1] <= lo) and (at == len(out) or hi <= out[at][0]):
+            out.insert(at, (lo, hi, kind))
+    return out
 
 
 def names(text: str) -> list[tuple[int, int, str]]:
     found, known = [], {}
     for m in TITLED.finditer(text):
-        gender = GENDER_OF[m[1]]
+        gender = next((g for t in re.findall(TITLE, m[1]) if (g := GENDER_OF[t])), "")
         if m[3]:
             found += [(*m.span(2), f"given {gender}"), (*m.span(3), "family")]
             known[m[2]], known[m[3]] = f"given {gender}", "family"
@@ -281,9 +297,12 @@ def names(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(1), "given "), (*m.span(2), "family")]
         known.setdefault(m[1], "given ")
         known.setdefault(m[2], "family")
-    if known:  # bare mentions
-        again = re.compile(rf"\b(?:{'|'.join(re.escape(k) for k in sorted(known, key=len, reverse=True))})\b")
-        found += [(*m.span(), known[m[0]]) for m in again.finditer(text)]
+    if known:  # bare mentions, also as a part of a double name
+        for m in BARE.finditer(text):
+            if m[0] in known:
+                found.append((*m.span(), known[m[0]]))
+            else:
+                found += [(m.start() + p.start(), m.start() + p.end(), known[p[0]]) for p in re.finditer(r"[^-]+", m[0]) if p[0] in known]
     return found
 
 
