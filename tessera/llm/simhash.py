@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through vantage-point trees.
 
 ``fingerprints`` is one pass over the texts; identical fingerprints then collapse to a class, and only the
-distinct values (16 bytes a row) are searched: a tree fitted on a bounded sample deals them to shards, a
-fingerprint near a shard's boundary also visits the shard behind it, and each shard is searched by its own
-tree.  A shard returns a spanning forest of its links, never the pairs, so a dense group costs a row a member.
+distinct values (16 bytes a row) are searched: a tree for each half of the bits, fitted on a bounded sample, deals
+them to shards, a fingerprint near a shard's boundary also visits the shard behind it, and each shard is searched
+by its own tree.  A shard returns a spanning forest of its links, never the pairs, so a dense group costs a row a member.
 
 Cases: a null text is an empty one; texts without a word have fingerprint zero and are linked like any other;
 fewer words than a shingle hash as one sequence; repeated rows and ids keep a row each; a null id takes part
@@ -62,23 +62,25 @@ def links(distinct: DataFrame, r: int = DISTANCE, shard: int = SHARD) -> DataFra
     """``distinct(fp)`` of distinct longs -> edges (u, v): a spanning forest per shard of all links at distance <= r."""
     spark, n = distinct.sparkSession, distinct.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
-    # the tree's sample: 64 points a shard, so at most 64 * 2 ** MAX_DEPTH longs (32 MB) on the driver
+    # the trees' sample: 64 points a shard, so at most 64 * 2 ** MAX_DEPTH longs (32 MB, as Arrow) on the driver
     share = min(1.0, 64 * 2**depth * 1.5 / max(1, n))
     picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(64 * 2**MAX_DEPTH)
-    tree = vptree.fit(np.sort(np.array([x.fp for x in picked.collect()] if depth else [], np.int64)).view(np.uint64), depth)
-    tree = spark.sparkContext.broadcast(tree)
+    sample = np.sort(picked.toArrow()["fp"].to_numpy() if depth else np.zeros(0, np.int64)).view(np.uint64)
+    trees = spark.sparkContext.broadcast([vptree.fit(sample & half, depth) for half in vptree.HALVES])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = b["fp"].to_numpy(np.int64)
             for i in range(0, len(fp), 4096):  # a row visits several shards
-                at, leaf, home = vptree.route(fp[i : i + 4096].view(np.uint64), tree.value, r)
-                yield pd.DataFrame({"leaf": leaf, "fp": fp[i : i + 4096][at], "home": home})
+                own = fp[i : i + 4096]
+                for k, (half, tree) in enumerate(zip(vptree.HALVES, trees.value)):
+                    at, leaf, home = vptree.route(own.view(np.uint64) & half, tree, r // 2)
+                    yield pd.DataFrame({"leaf": 2 * leaf + k, "fp": own[at], "home": home})
 
     def link(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("fp")
         fp = b["fp"].to_numpy(np.int64)
-        label = vptree.search(fp.view(np.uint64), b["home"].to_numpy(bool), r)
+        label = vptree.search(fp.view(np.uint64), b["home"].to_numpy(bool), r, vptree.HALVES[b["leaf"].iloc[0] % 2], r // 2)
         tied = label != np.arange(len(label))
         return pd.DataFrame({"u": fp[tied], "v": fp[label[tied]]})
 

@@ -52,16 +52,26 @@ def test_search_finds_every_link():
     assert label.tolist() == brute_groups(fps)
 
 
-def test_routing_loses_no_pair():
+def test_search_by_halves_finds_every_link():
+    fps = np.array(planted(1500, np.random.default_rng(5)), np.uint64)
+    a, b = (vptree.search(fps, np.ones(len(fps), bool), 3, half, 1) for half in vptree.HALVES)
+    at = np.arange(len(fps))
+    vptree.join_labels(a, at, b)
+    assert a.tolist() == brute_groups([int(x) for x in fps])
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_routing_loses_no_pair(halves):
     rng = np.random.default_rng(2)
     fps = np.array(planted(800, rng), np.uint64)
-    at, leaf, home = vptree.route(fps, vptree.fit(fps[::3], 4), 3)
-    assert np.bincount(at[home], minlength=len(fps)).tolist() == [1] * len(fps)
     met = set()
-    for x in np.unique(leaf):
-        own = at[(leaf == x) & home]
-        both = at[leaf == x]
-        met |= {(min(i, j), max(i, j)) for i in own for j in both if i != j}
+    for mask, r in [(h, 1) for h in vptree.HALVES] if halves else [(np.uint64(2**64 - 1), 3)]:
+        at, leaf, home = vptree.route(fps & mask, vptree.fit(fps[::3] & mask, 4), r)
+        assert np.bincount(at[home], minlength=len(fps)).tolist() == [1] * len(fps)
+        for x in np.unique(leaf):
+            own = at[(leaf == x) & home]
+            both = at[leaf == x]
+            met |= {(min(i, j), max(i, j)) for i in own for j in both if i != j}
     close = {(i, j) for j in range(len(fps)) for i in range(j) if int(fps[i] ^ fps[j]).bit_count() <= 3}
     assert close and close <= met
 
@@ -110,6 +120,16 @@ def test_keep_one(spark, docs):
     assert {group[rows.index(x)] for x in got} == set(group)
 
 
+def test_many_shards_lose_no_link(spark):
+    fps = planted(3000, np.random.default_rng(6))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), shard=200).collect()
+    place, label = {x: i for i, x in enumerate(signed)}, np.arange(len(fps))
+    u, v = (np.array([place[e[k]] for e in edges]) for k in (0, 1))
+    vptree.join_labels(label, u, v)
+    assert label.tolist() == brute_groups(fps)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == [] and simhash.keep_one(df).collect() == []
