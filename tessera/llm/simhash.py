@@ -112,10 +112,11 @@ def keep_one(docs: DataFrame, width: int = 3, r: int = DISTANCE) -> DataFrame:
     where such repeats exist, and then only theirs.
     """
     fps = store(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("__h"), "text"), width=width).select("doc_id", "__h", "fp"), "fps")
-    rows = fps.join(linked(fps, r).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("__h").alias("c"))
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
-    gone = store(rows.join(first, "root").filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g")).distinct(), "gone")
+    # a group's first row is found over its distinct fingerprints, so rows are never dealt by group
+    classes = store(fps.groupBy("fp").agg(F.min(order).alias("own")).join(linked(fps, r).select("fp", "root"), "fp"), "firsts")
+    first = store(classes.join(classes.groupBy("root").agg(F.min("own").alias("first")), "root").select("fp", "first"), "first")
+    gone = store(fps.join(first, "fp").filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g")).distinct(), "gone")
     left = docs.withColumn("__h", F.xxhash64("text"))
     kept = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")), "left_anti")
     repeats = fps.groupBy("doc_id", "__h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"))
