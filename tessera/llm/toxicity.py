@@ -13,7 +13,7 @@ scoring costs the subsequences of a string, however many landmarks there are, an
 
 Strings are a sentence's words, lower-cased, look-alike digits and signs as their letters,
 punctuation at the ends left off and inside as gaps; single characters in a row (``i d i o t``) also make one
-string; long ones are read in overlapping pieces.  Sentences end at line ends and at . ! ?
+string; long ones are read in overlapping pieces, and also without their gaps.  Sentences end at line ends and at . ! ?
 
 Cases: null and empty texts have no string and get the score of a text without; rows with null ids are scored
 and never fitted on; null labels aren't fitted on; without both labels every score is that of a clean text;
@@ -43,7 +43,7 @@ from tessera.llm.textnum import slices
 ORDERS, DECAY = (3, 4), 0.6
 #: The bound of what is fitted on: labelled texts of each kind, landmarks, strings of clean texts.
 TEXTS, LANDMARKS, CLEAN = 1000, 300, 6000
-#: A string is read in pieces of PIECE characters, every STEP.
+#: A string is read in pieces of PIECE characters, every STEP; its letters alone in pieces of PIECE from every letter on.
 PIECE, STEP = 12, 6
 THRESHOLD, REMEMBERED = 0.5, 400_000
 #: Standard deviations by which a telling string must stand out.
@@ -86,18 +86,20 @@ def strings(text: str | None) -> set[str]:
                 run.append(w)
             else:
                 if len(run) >= 3:
-                    joined = "".join(run)
-                    out.update(joined[i : i + 2 * PIECE] for i in range(0, len(joined), PIECE))
+                    out.update("".join(run[i : i + 2 * PIECE]) for i in range(0, len(run), PIECE))
                 run = []
     return out
 
 
 def pieces(string: str) -> list[bytes]:
-    """Classes of a string's characters, gaps at its ends left off, in pieces."""
+    """Classes of a string's characters, gaps at its ends left off; a long one in pieces, as written and by its letters alone."""
     x = string.translate(CLASSES).encode("latin-1").strip(b"\0")
     if len(x) <= PIECE:
         return [x] if len(x) >= min(ORDERS) else []
-    return [x[i : i + PIECE] for i in range(0, max(1, len(x) - STEP), STEP)]
+    letters = x.replace(b"\0", b"")
+    out = [x[i : i + PIECE] for i in range(0, max(1, len(x) - STEP), STEP)]
+    # without its gaps, and from every letter on, so that whatever is no longer than a landmark lies whole in a piece
+    return list(dict.fromkeys(out + [letters[i : i + PIECE] for i in range(max(1, len(letters) - PIECE + 1)) if len(letters) >= min(ORDERS)]))
 
 
 @lru_cache(maxsize=64)

@@ -63,6 +63,27 @@ def test_training_finds_gapped_insults():
     assert np.mean(m.most([text() for _ in range(100)]) > cut) < 0.05
 
 
+@pytest.mark.parametrize("word", ["pathetic", "worthless", "disgusting", "scoundrelly", "filthmongers"])
+def test_long_gapped_insults_are_read_whole(word):
+    plain = toxicity.pieces(word)
+    assert plain == [bytes(ord(c) - 96 for c in word)]
+    for gap in (".", "-", "*_", "...."):
+        for t in (gap.join(word), f"({gap.join(word)}).", " ".join(word), ". ".join(word)):
+            assert plain[0] in toxicity.keys_of(f"well {t} then"), t
+    for before in range(15):
+        assert any(plain[0] in k for k in toxicity.pieces("x" * before + word + "y" * 20))
+
+
+def test_training_finds_long_gapped_insults():
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(3, 9))) for _ in range(400)]
+    text = lambda *extra: " ".join([*rng.choice(words, 30), *extra])
+    bad = ["pathetic", "worthless", "disgusting"]
+    m = toxicity.train([toxicity.keys_of(text(rng.choice(bad))) for _ in range(150)], [toxicity.keys_of(text()) for _ in range(300)])
+    for w in bad:
+        assert m.most([".".join(w)])[0] == pytest.approx(m.most([w])[0]) and m.most([w])[0] > 0.5
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
