@@ -13,7 +13,8 @@ scoring costs the subsequences of a string, however many landmarks there are, an
 
 Strings are a sentence's words, lower-cased, look-alike digits and signs as their letters,
 punctuation at the ends left off and inside as gaps; single characters in a row (``i d i o t``) also make one
-string; long ones are read in overlapping pieces, and also without their gaps.  Sentences end at line ends and at . ! ?
+string; long ones are read in overlapping pieces, and also without their gaps.  So are all runs of a sentence's words that
+have no more letters than a piece, with a gap for a blank (``id iot``).  Sentences end at line ends and at words' ends in . ! ?
 
 Cases: null and empty texts have no string and get the score of a text without; rows with null ids are scored
 and never fitted on; null labels aren't fitted on; without both labels every score is that of a clean text;
@@ -102,6 +103,31 @@ def pieces(string: str) -> list[bytes]:
     return list(dict.fromkeys(out + [letters[i : i + PIECE] for i in range(max(1, len(letters) - PIECE + 1)) if len(letters) >= min(ORDERS)]))
 
 
+@lru_cache(maxsize=1 << 16)
+def word_key(word: str) -> bytes:
+    """Classes of a word's characters, gaps at its ends left off."""
+    return word.translate(CLASSES).encode("latin-1").strip(b"\0")
+
+
+def phrases(text: str | None) -> set[bytes]:
+    """Keys of all runs of two words and more within a sentence, of PIECE letters at most: a gap for a blank, or none where that is longer than a piece."""
+    out = set()
+    for line in (text or "").lower().splitlines():
+        open_runs: list[tuple[bytes, int]] = []  # the runs that end in the last word, with their letters
+        for w in line.split():
+            key = word_key(w)
+            if key:
+                n, grown = len(key) - key.count(0), []
+                for run, m in open_runs:
+                    if m + n <= PIECE:
+                        grown.append((run + b"\0" + key, m + n))
+                out.update(run if len(run) <= PIECE else run.replace(b"\0", b"") for run, m in grown if m >= min(ORDERS))
+                open_runs = [*grown, (key, n)] if n < PIECE else []
+            if w[-1] in ".!?":
+                open_runs = []
+    return out
+
+
 @lru_cache(maxsize=64)
 def places(length: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Index tuples of all subsequences of a string of a length, and DECAY to the length that each spans."""
@@ -178,8 +204,12 @@ def folded(keys: list[bytes], tables: list[np.ndarray]) -> np.ndarray:
     for at, rows in by_length(keys):
         for n, table, norm in zip(ORDERS, tables, own_kernel(rows)):
             if len(rows) >= n:
-                code, weight = subsequences(rows, n)
-                out[at] += (weight * table[code]).sum(axis=0) / np.sqrt(np.where(norm > 0, norm, 1.0))
+                places_of, weight = places(len(rows), n)
+                code = rows[places_of[:, 0]]
+                for k in range(1, n):
+                    code = code * LETTERS + rows[places_of[:, k]]
+                # subsequences with a gap need no mask: a table is 0 there
+                out[at] += (weight.astype(np.float32) @ table.take(code)) / np.sqrt(np.where(norm > 0, norm, 1.0))
     return out / len(ORDERS)
 
 
@@ -193,6 +223,7 @@ class Model:
     shift: float = 0.0
     floor: float = -3.0
     seen: dict[str, float] = field(default_factory=dict, repr=False)
+    seen_phrases: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def of_keys(self, keys: list[bytes]) -> np.ndarray:
         return folded(keys, self.tables) + self.bias
@@ -210,7 +241,7 @@ class Model:
         self.seen.update(zip(new, best.tolist()))
 
     def most(self, texts: list[str | None]) -> np.ndarray:
-        """The decision value of the most toxic string of each text."""
+        """The decision value of the most toxic string or run of words of each text."""
         out = np.full(len(texts), self.floor)
         for i in range(0, len(texts), 256):
             own = [strings(t) for t in texts[i : i + 256]]
@@ -221,13 +252,22 @@ class Model:
             for j, x in enumerate(own):
                 if x:
                     out[i + j] = max(map(get, x))
+            runs = [phrases(t) for t in texts[i : i + 256]]
+            if len(self.seen_phrases) > REMEMBERED:
+                self.seen_phrases.clear()
+            new = list(set().union(*runs) - self.seen_phrases.keys())
+            self.seen_phrases.update(zip(new, self.of_keys(new).tolist()))
+            get = self.seen_phrases.__getitem__
+            for j, x in enumerate(runs):
+                if x:
+                    out[i + j] = max(out[i + j], max(map(get, x)))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return linear.sigmoid(self.scale * self.most(texts) + self.shift)
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "seen_phrases": {}}
 
 
 def tables_of(landmarks: list[bytes], beta: np.ndarray) -> list[np.ndarray]:
@@ -357,7 +397,7 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 3) ->
 
 
 def keys_of(text: str | None) -> set[bytes]:
-    return {k for s in strings(text) for k in pieces(s)}
+    return {k for s in strings(text) for k in pieces(s)} | phrases(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:

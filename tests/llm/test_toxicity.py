@@ -84,6 +84,27 @@ def test_training_finds_long_gapped_insults():
         assert m.most([".".join(w)])[0] == pytest.approx(m.most([w])[0]) and m.most([w])[0] > 0.5
 
 
+def test_phrases():
+    key = lambda w: bytes(ord(c) - 96 if c != " " else 0 for c in w)
+    assert toxicity.phrases("So Id io t, he") == {key(x) for x in ("so id", "so id io", "so id io t", "soidiothe", "id io", "id io t", "id io t he", "io t", "io t he", "t he")}
+    for t in ("mor. on", "mor\non", "moron", None, "", "a - b", "- ..."):
+        assert toxicity.phrases(t) in (set(), {key("a b")} if t == "a - b" else set())
+    for t in ("dis gus ting", "d is gu st i ng", "worth less", "pat het ic"):
+        own = key(t) if len(t) <= toxicity.PIECE else key(t.replace(" ", ""))
+        assert own in toxicity.keys_of(f"they said {t} again") and all(len(k) <= toxicity.PIECE for k in toxicity.phrases(f"they {t} {'x' * 50} y"))
+
+
+def test_training_finds_insults_parted_by_blanks():
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(3, 9))) for _ in range(400)]
+    text = lambda *extra: " ".join([*rng.choice(words, 30), *extra])
+    bad = ["idiot", "worthless", "disgusting"]
+    m = toxicity.train([toxicity.keys_of(text(rng.choice(bad))) for _ in range(150)], [toxicity.keys_of(text()) for _ in range(300)])
+    for t in ("id iot", "i d iot", "worth less", "dis gus ting", "disg usting"):
+        assert m.most([f"so {t} he"])[0] > 0.1, t
+    assert np.mean(m.most([text() for _ in range(100)]) > 0.1) < 0.05
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
