@@ -4,8 +4,8 @@ An entity's variable characters are a number in a domain that its format fixes (
 case, script and vowel or consonant, an octet its width, a card its check digit, a given name its list).  The
 surrogate is the image under a keyed permutation of that domain: a Feistel cipher over the domain's numbers, made
 to leave none in place.  So the same entity gets the same surrogate everywhere, however its separators are written,
-two entities never share one, and no table of entities is kept: each text is replaced on its own.  What a
-permutation can't promise is told by ``collisions``: surrogates that are also someone's original in the corpus.
+and entities of a domain never share one.  What a permutation can't promise, that no surrogate is shared across domains or is
+someone's original in the corpus, is checked over the corpus' distinct entities, and those that clash are re-keyed.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security numbers,
 IBANs, access keys, long hexadecimal tokens, values of password and token fields, and persons' names by title or
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textnum import slices
+from tessera.runtime import Stored, store
 
 ROUNDS = 6
 #: Characters of a text that are moved as one number.
@@ -222,13 +223,16 @@ class Surrogates:
         if v in LIST_OF:
             own = GIVEN[LIST_OF[v]]
             return own[self.move(own.index(v), len(own), f"given\0{LIST_OF[v]}")]
-        return self._coined(v, f"given\0{gender}")
+        return self._coined(v, "given")  # whatever title it had here, so that it is one person's throughout
 
     def _family(self, v: str, _) -> str:
+        if v in LIST_OF:  # among themselves, as a coined name is never one of these
+            own = GIVEN[LIST_OF[v]]
+            return own[self.move(own.index(v), len(own), f"family\0{LIST_OF[v]}")]
         return self._coined(v, "family")
 
     def _coined(self, v: str, tag: str) -> str:
-        """A pronounceable name: vowels for vowels; a Cyrillic ending, which tells the gender, stays.  Never a known given name."""
+        """A pronounceable name: vowels for vowels; a Cyrillic ending, which tells the gender, stays.  A permutation of the names that aren't known given names."""
         stay = len(v) - 2 if len(v) > 3 and v[-1] in CLASS_OF and CLASS_OF[v[-1].lower()] in LETTER_CLASSES[2:] else len(v)
         while True:
             head = self.spell(v[:stay].lower(), tag, lambda c: CLASS_OF.get(c, ""))
@@ -237,6 +241,22 @@ class Surrogates:
                 return v
 
 
+@dataclass
+class Rekeyed(Surrogates):
+    """Surrogates under the key of round ``steps[kind, original]`` for the entities in it."""
+
+    steps: dict = field(default_factory=dict, repr=False)
+    rounds: dict = field(default_factory=dict, repr=False)
+
+    def of(self, kind: str, value: str) -> str:
+        t = self.steps.get((kind.partition(" ")[0], value))
+        if not t:
+            return super().of(kind, value)
+        if t not in self.rounds:
+            self.rounds[t] = Surrogates(self.key + b"\0%d" % t)
+        return self.rounds[t].of(kind, value)
+
+
 def plain_class(c: str) -> str:
     if "0" <= c <= "9":
         return "0123456789"
@@ -319,12 +339,13 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
     return "".join([*out, text[at:]]) if told else text, told
 
 
-def replaced(docs: DataFrame, key: bytes, text: str = "text") -> Column:
-    """A struct column: the text, and kinds, originals and surrogates of its entities."""
+def replaced(docs: DataFrame, key: bytes, text: str = "text", steps: dict | None = None) -> Column:
+    """A struct column: the text, and kinds, originals and surrogates of its entities; those in ``steps`` are re-keyed."""
+    shared = docs.sparkSession.sparkContext.broadcast(steps or {})
 
     @F.pandas_udf("text string, kinds array<string>, originals array<string>, surrogates array<string>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Surrogates(key)
+        own = Rekeyed(key, steps=shared.value)
         for s in (x for b in batches for x in slices(b)):
             rows = [replace(t, own) for t in s]
             yield pd.DataFrame({"text": pd.Series([t for t, _ in rows], dtype=object)} | {n: pd.Series([[x[i] for x in told] for _, told in rows], dtype=object) for i, n in enumerate(("kinds", "originals", "surrogates"))})
@@ -332,9 +353,41 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text") -> Column:
     return of(F.col(text))
 
 
+def clashing(done: DataFrame, name: str) -> DataFrame:
+    """(kind, original), as written, of entities whose surrogate another entity has too (all but the least of them) or is.
+
+    Spellings of a number or address, and a phone number with and without its country, are one entity.  Known given names
+    aren't told: their surrogates are known given names, which people share.
+    """
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    canon = lambda c: F.when(F.col("kind") == "phone", F.substring(digits(c), -10, 10)).when(F.col("kind").isin("card", "ssn"), digits(c)).when(F.col("kind") == "email", F.lower(c)).when(F.col("kind") == "iban", F.regexp_replace(c, " ", "")).otherwise(c)
+    told = done.select(F.explode(F.arrays_zip(f"{name}.kinds", f"{name}.originals", f"{name}.surrogates")).alias("e")).select(F.col("e.kinds").alias("kind"), F.col("e.originals").alias("original"), F.col("e.surrogates").alias("surrogate")).distinct()
+    told = store(told.withColumns({"a": canon(F.col("original")), "b": canon(F.col("surrogate"))}), "entities")
+    own = told.filter(~((F.col("kind") == "given") & F.col("original").isin(list(LIST_OF))))
+    shared = own.groupBy("kind", "b").agg(F.min("a").alias("first"), F.max("a").alias("last")).filter("first <> last").select("kind", "b", "first")
+    real = own.join(told.select("kind", F.col("a").alias("b")).distinct(), ["kind", "b"], "left_semi").filter("a <> b").select("kind", "a")
+    return own.join(own.join(shared, ["kind", "b"]).filter("a <> first").select("kind", "a").unionAll(real).distinct(), ["kind", "a"], "left_semi").select("kind", "original").distinct()
+
+
+def settled(docs: DataFrame, key: bytes, name: str, rounds: int = 8) -> DataFrame:
+    """``docs`` with the struct of ``replaced`` as ``name`` and without ``text``; clashing entities are re-keyed, round by round.
+
+    Texts are read again only where entities clash, and only those come to the driver.  What clashes after all rounds, as its
+    format has too few values, stays so; ``collisions`` tells it.
+    """
+    steps: dict[tuple[str, str], int] = {}
+    for t in range(1, rounds + 2):
+        done = Stored(docs.sparkSession, docs.withColumn(name, replaced(docs, key, steps=steps)).drop(*({"text"} - {name})), "replaced")
+        bad = [(r.kind, r.original) for r in clashing(done.df, name).collect()] if t <= rounds else []
+        if not bad:
+            return done.df
+        done.drop()
+        steps |= dict.fromkeys(bad, t)
+
+
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with ``text`` replaced."""
-    return docs.withColumn("__p", replaced(docs, key)).withColumn("text", F.col("__p.text")).drop("__p")
+    return settled(docs, key, "__p").withColumn("text", F.col("__p.text")).select(docs.columns)
 
 
 def collisions(docs: DataFrame, key: bytes) -> DataFrame:

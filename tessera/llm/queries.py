@@ -67,8 +67,8 @@ SURROGATE_KEY = b"tessera surrogates, default key"
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = SURROGATE_KEY) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", pii.replaced(docs, key).alias("p")).select("doc_id", "p.text", F.size("p.kinds").alias("n_entities"), F.array_sort("p.kinds").alias("kinds"), "p.surrogates")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.settled(docs, key, "p").select("doc_id", "p.text", F.size("p.kinds").alias("n_entities"), F.array_sort("p.kinds").alias("kinds"), "p.surrogates")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

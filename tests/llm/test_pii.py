@@ -107,6 +107,36 @@ def test_rows(spark):
     assert pii.pseudonymise(df.limit(0), KEY).collect() == [] and pii.collisions(df, KEY).filter("originals > 1").collect() == []
 
 
+def test_one_surrogate_whatever_the_title():
+    _, found = told("Dr. Alex Morgan met Mr. Alex Morgan; Ms. Alex Morgan left. Dr. Xela Morgan stayed.")
+    assert len({b for _, a, b in found if a == "Alex"}) == 1
+    names = [f"{a}{b}{c}{d}" for a in "BCDK" for b in "aeiou" for c in "lrnm" for d in "aeiou"]
+    got = {OWN.of(f"given {g}", v) for g in ("f", "m", "") for v in names}
+    assert len(got) == len(names)
+
+
+def test_listed_family_names_are_distinct():
+    # all names of the shape of Karl, as the listed ones among them went astray
+    names = [f"{a.upper()}{b}{c}{d}" for a in pii.LETTER_CLASSES[1] for b in "aeiou" for c in pii.LETTER_CLASSES[1] for d in "lmnrs"]
+    names += [f"{a.upper()}{b}{c}{d}" for a in pii.LETTER_CLASSES[1] for b in "aeiou" for c in pii.LETTER_CLASSES[1] for d in "bcdfghjkpqtvwxyz"]
+    assert "Karl" in names and "Hans" in names and len({OWN.of("family", v) for v in names}) == len(names)
+
+
+def test_clashing_entities_are_rekeyed(spark):
+    a = "917-555-1234"
+    b = OWN.of("phone", a)  # a real number of the corpus, and a's surrogate
+    rows = [(1, f"call {a} or +1 {a}"), (2, f"call {b} now"), (3, f"call {a} again"), (4, None), (5, "Mr. John Smith"), (6, f"Mr. John {OWN.of('family', 'Smith')}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.collisions(docs, KEY).filter("real").count() >= 2
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, KEY).collect()}
+    assert b not in "".join(x or "" for x in out.values()) and a not in "".join(x or "" for x in out.values())
+    new = out[3].split()[1]
+    assert out[1] == f"call {new} or +1 {new}" and out[4] is None and len({out[2].split()[1], new}) == 2
+    assert OWN.of("family", "Smith") not in out[5] and OWN.of("family", "Smith") not in out[6] and "Smith" not in out[6]
+    done = pii.settled(docs, KEY, "p")
+    assert done.columns == ["doc_id", "p"] and pii.clashing(done, "p").collect() == []
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
