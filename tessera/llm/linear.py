@@ -1,4 +1,4 @@
-"""Linear models over hashed word and byte n-grams: features, training on a bounded sample, scoring.
+"""Linear models over hashed word and character n-grams: features, training on a bounded sample, scoring.
 
 A text's features are, per kind of gram, the mean over its grams of a one in the gram's bucket; a score is
 then a gather of weights and a mean, whatever the text's length.  Texts without a gram of a kind have zeros.
@@ -11,12 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import textnum
+from tessera.runtime import store
 
 #: Kind, length, buckets (powers of two).
-GRAMS = (("byte", 4, 1 << 16), ("word", 1, 1 << 15), ("word", 2, 1 << 15))
+GRAMS = (("char", 4, 1 << 16), ("word", 1, 1 << 15), ("word", 2, 1 << 15))
 BUCKETS = sum(g[2] for g in GRAMS)
 #: Features are means, so small; this brings the usual text's vector near length one.
 SCALE = 8.0
@@ -26,7 +28,7 @@ def grams(texts: textnum.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) per kind of gram."""
     at = 0
     for kind, k, size in GRAMS:
-        doc, h = texts.byte_grams(k) if kind == "byte" else texts.word_grams(k)
+        doc, h = texts.char_grams(k) if kind == "char" else texts.word_grams(k)
         yield doc, (textnum.mix(h + np.uint64(at)) & np.uint64(size - 1)).astype(np.int64) + at
         at += size
 
@@ -87,15 +89,41 @@ class Rows:
         return out
 
 
-def sample_ids(df: DataFrame, n: int, salt: int) -> DataFrame:
-    """The n rows of ``df(doc_id, ...)`` with the least hash of (salt, doc_id): the bound of what a model is fitted on."""
-    return df.filter("doc_id is not null").orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
+#: Bytes of text that a model is fitted on at most; of a longer sample the texts of the least hashes stay.
+FIT_BYTES = 64 << 20
 
 
-def featured(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
-    """Collects (the columns of ``ids``, col, val) of the sampled rows; ``ids`` is bounded, so it is broadcast."""
-    rest = [f for f in ids.schema.fields if f.name != "doc_id"]
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+def least_ids(df: DataFrame, n: int, salt: int) -> DataFrame:
+    """The n distinct ids of ``df(doc_id, ...)`` with the least hash of (salt, doc_id), and the columns beside them.
+
+    Only rows under a bound on the hash are dealt out, which is raised until it holds enough; so repeats are told
+    apart without dealing out all ids.
+    """
+    h, most = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 40)), 1 << 40
+    own = df.filter("doc_id is not null")
+    share = min(1.0, 4 * n / max(1, df.count()))
+    while True:
+        few = own.filter(h < int(share * most)).distinct()
+        if share >= 1 or few.count() >= n:
+            return few.orderBy(h, "doc_id", *[c for c in df.columns if c != "doc_id"]).limit(n)
+        share = min(1.0, share * 16)
+
+
+def sampled(docs: DataFrame, ids: DataFrame, most: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, the other columns of ``ids``, text): a text for each row of ``ids``, which is bounded, written once.
+
+    Of rows that share an id the text of the least hash counts.  Texts are taken by the hash of their ids as far as
+    ``most`` bytes go, and always one.
+    """
+    keys = [f"`{c}`" for c in ids.columns]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64(F.lit(9), "doc_id"), *keys).rowsBetween(W.unboundedPreceding, -1))
+    return store(rows.withColumn("__upto", upto).filter(F.coalesce("__upto", F.lit(0)) < most).drop("__upto"), "sample")
+
+
+def featured(rows: DataFrame) -> pd.DataFrame:
+    """Collects (the columns of ``rows(doc_id, ..., text)`` but the text, col, val), for a bounded sample."""
+    rest = [f for f in rows.schema.fields if f.name not in ("doc_id", "text")]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,7 +133,8 @@ def featured(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
                 yield part.drop(columns="text").assign(col=[c.tobytes() for c, _ in pairs], val=[v.tobytes() for _, v in pairs])
 
     schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "col binary", "val binary"])
-    return picked.mapInPandas(of, schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    names = ["doc_id", *(f.name for f in rest)]
+    return rows.select(*names, "text").mapInPandas(of, schema).toPandas().sort_values(names, kind="stable").reset_index(drop=True)
 
 
 def matrix(rows: pd.DataFrame) -> Rows:

@@ -7,14 +7,14 @@ a negative.  The class prior is the best-bin estimate: over the thresholds of a
 from unlabelled text, the least ratio of the shares above, with a margin for the sample's size.
 
 Cases: a null text is an empty one and gets the score of a text without grams; rows with a null id are scored
-and not held out; ids and labels that are null or repeated fit no more than once each by their hash order; with no
-positive or no text to fit on, every score is the prior's stand-in 0.5; extra columns are ignored.
+and not held out; null ids are never fitted on, repeated ids once; with no positive or no text to fit on, every score is the prior's stand-in 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linear
 from tessera.llm.textnum import slices
-from tessera.runtime import store
 
 #: The bound of the sample that the model is fitted on.
 POSITIVES, UNLABELLED = 600, 2000
@@ -84,37 +83,35 @@ def nn_pu(p: linear.Rows, u: linear.Rows, prior: float, steps: int = 80) -> tupl
     return linear.descend(gradient, steps, l2=1e-4)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED, check_positives: int = CHECK_POSITIVES, check_unlabelled: int = CHECK_UNLABELLED) -> Model:
     """Fits on the hash-first trusted ids and ids of ``docs`` in folds 2-4; the prior and the intercept come from fold 1.
 
-    Only grams of the fitted sample and scores of the checked one reach the driver, both of bounded number.
+    Only grams of the fitted sample and scores of the checked one reach the driver, both of bounded number and size; the
+    sampled texts are read from ``docs`` once.
     """
     free = ~held_out()
-    trusted, others = labels.filter(free & (F.col(label) == 1)).select("doc_id").distinct(), docs.filter(free).select("doc_id").distinct()
-
-    def sampled(check: bool, positives: int, unlabelled: int) -> DataFrame:
-        fold_ok = (fold() == 1) == F.lit(check)
-        own = linear.sample_ids(trusted.filter(fold_ok), positives, 1).withColumn("kind", F.lit(1))
-        return own.unionAll(linear.sample_ids(others.filter(fold_ok), unlabelled, 2).withColumn("kind", F.lit(0)))
-
-    rows = linear.featured(docs, sampled(False, POSITIVES, UNLABELLED))
+    trusted, others = labels.filter(free & (F.col(label) == 1)).select("doc_id"), docs.filter(free).select("doc_id")
+    parts = [
+        linear.least_ids(df.filter((fold() == 1) == F.lit(check)), n, salt).withColumns({"kind": F.lit(2 - salt), "check": F.lit(check)})
+        for df, salt, sizes in ((trusted, 1, (positives, check_positives)), (others, 2, (unlabelled, check_unlabelled))) for check, n in zip((False, True), sizes)
+    ]
+    texts = linear.sampled(docs, reduce(DataFrame.unionAll, parts))
+    rows = linear.featured(texts.filter("not check"))
     p, u = linear.matrix(rows[rows["kind"] == 1]), linear.matrix(rows[rows["kind"] == 0])
     del rows
     if not len(p) or not len(u):
         return Model(np.zeros(linear.BUCKETS), 0.0, 0.5)
-    check = store(sampled(True, CHECK_POSITIVES, CHECK_UNLABELLED), "check")
     w, b = linear.descend(lambda w, b: apart(p, u, w, b), 30)
-    prior = best_bin_prior(*scored(docs, check, w))
+    prior = best_bin_prior(*scored(texts, w))
     w, b = nn_pu(p, u, prior)
     # the sample's size leaves the posterior too high or low as a whole: as many as the prior says pass the threshold
-    cut = scored(docs, check, w)[1]
+    cut = scored(texts, w)[1]
     return Model(w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(cut, 1 - prior)) if len(cut) else b, prior)
 
 
-def scored(docs: DataFrame, ids: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores without intercept of the positives and of the unlabelled rows among ``ids``, which are few."""
-    z = raw_score(docs, weights)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", z("text").alias("z")).collect()
+def scored(texts: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores without intercept of the positives and of the unlabelled texts of the checked sample, which are few."""
+    rows = texts.filter("check").select("kind", raw_score(texts, weights)("text").alias("z")).collect()
     return tuple(np.array([r.z for r in rows if r.kind == k]) for k in (1, 0))
 
 

@@ -1,6 +1,6 @@
 """Quality rules: counts with fixed limits, then a calibrated n-gram classifier with a fixed limit.
 
-The classifier is a logistic regression over hashed word and byte n-grams, fitted on a bounded, hash-chosen
+The classifier is a logistic regression over hashed word and character n-grams, fitted on a bounded, hash-chosen
 sample of labelled rows; its probabilities are calibrated (Platt) on a fold that it wasn't fitted on.  Texts
 are scored whole, in Arrow batches, in one pass with the counts.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,13 +81,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """On FIT rows of each label from folds 2-4 and calibrated on CALIBRATE rows of each from fold 1; fold 0 stays unseen."""
-    own = labels.filter(~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    own = labels.filter(~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     parts = [
-        linear.sample_ids(own.filter((F.col("y") == y) & ((fold() == 1) == F.lit(check))), n, 3).withColumn("check", F.lit(check))
+        linear.least_ids(own.filter((F.col("y") == y) & ((fold() == 1) == F.lit(check))), n, 3).withColumn("check", F.lit(check))
         for y in (0, 1) for check, n in ((False, FIT), (True, CALIBRATE))
     ]
-    ids = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
-    rows = linear.featured(docs, ids)
+    rows = linear.featured(linear.sampled(docs, reduce(DataFrame.unionAll, parts)))
     last = rows["check"].to_numpy(bool)
     y, y_check = rows["y"].to_numpy(float)[~last], rows["y"].to_numpy(float)[last]
     train, check = linear.matrix(rows[~last]), linear.matrix(rows[last])

@@ -42,7 +42,8 @@ class Texts:
     """Arrays over a batch: ``data`` bytes; per text ``first``, ``last`` (bytes); per word ``start``, ``end``, ``doc``, ``hash``."""
 
     def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.texts = [t or "" for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in self.texts]
         self.n, self.raw = len(raw), raw
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         size = np.array([len(x) for x in raw], np.int64)
@@ -89,16 +90,19 @@ class Texts:
     def word_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.windows(k)[1:]
 
-    def byte_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, code) of each k consecutive bytes of one text; up to 8 bytes make the code exactly."""
-        m = len(self.data) - k + 1
+    def char_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, code) of each k consecutive characters of one text; up to 3 characters make the code exactly."""
+        chars = np.frombuffer(("\n".join(self.texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        m = len(chars) - k + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        code = np.zeros(m, np.uint64)
-        for i in range(k):
-            code = (code << np.uint64(8)) | self.data[i : m + i]
-        doc = np.repeat(np.arange(self.n), self.last - self.first + 1)[:m]
-        inside = self.last[doc] - np.arange(m) >= k
+        code = chars[:m].copy()
+        for i in range(1, k):
+            code *= np.uint64(1 << 21 | 1) if i >= 3 else np.uint64(1 << 21)
+            code += chars[i : m + i]
+        size = np.array([len(t) + 1 for t in self.texts], np.int64)
+        doc = np.repeat(np.arange(self.n), size)[:m]
+        inside = np.cumsum(size)[doc] - 1 - np.arange(m) >= k
         return doc[inside], code[inside]
 
 

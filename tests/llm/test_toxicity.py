@@ -8,12 +8,16 @@ import pytest
 from tessera.llm import queries, toxicity
 
 
+def word(w):
+    return bytes(ord(c) - 96 for c in w)
+
+
 def brute_kernel(a, b, n):
-    """By listing all subsequences."""
+    """By listing all subsequences, over what strings of these lengths have with themselves if no letter repeats."""
     def own(x):
         out = {}
         for at in combinations(range(len(x)), n):
-            if all(x[i] for i in at):
+            if at[-1] - at[0] < toxicity.SPAN:
                 k = tuple(x[i] for i in at)
                 out[k] = out.get(k, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
@@ -21,34 +25,66 @@ def brute_kernel(a, b, n):
     def dot(x, y):
         return sum(w * y.get(k, 0) for k, w in x.items())
 
-    x, y = own(a), own(b)
-    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) if x and y else 0.0
+    size = [dot(own(x), own(x)) for x in (range(100, 100 + len(a)), range(100, 100 + len(b)))]
+    return dot(own(a), own(b)) / math.sqrt(size[0] * size[1]) if all(size) else 0.0
 
 
-KEYS = [k for w in ["idiot", "i-d-i-o-t", "aaaa", "abcabcabc", "scum", "abc", "xyzzyxyzzyxy", "id.iot"] for k in toxicity.pieces(w)]
+KEYS = [word(w) for w in ["idiot", "idioot", "aaaa", "abcabcabc", "scum", "abc", "xyzzyxyzzyxy", "dio"]]
 
 
 def test_kernel_matches_listing():
-    for a in KEYS:
-        for b in KEYS:
+    got = toxicity.Landmarks(KEYS).kernels(KEYS)
+    for i, a in enumerate(KEYS):
+        for j, b in enumerate(KEYS):
             want = sum(brute_kernel(a, b, n) for n in toxicity.ORDERS) / len(toxicity.ORDERS)
-            assert toxicity.kernel(a, b) == pytest.approx(want)
+            assert toxicity.kernel(a, b) == pytest.approx(want) and got[i, j] == pytest.approx(want, abs=1e-6)
 
 
 def test_folded_weights_equal_the_sum_over_landmarks():
-    beta = np.linspace(-1, 2, len(KEYS))
-    got = toxicity.folded(KEYS, toxicity.tables_of(KEYS, beta))
-    want = [sum(b * toxicity.kernel(k, m) for m, b in zip(KEYS, beta)) for k in KEYS]
-    assert np.allclose(got, want, atol=1e-5)
+    beta, rng = np.linspace(-1, 2, len(KEYS)), np.random.default_rng(3)
+    model = toxicity.Model(toxicity.Landmarks(KEYS).tables(beta), 0.25)
+    some = KEYS + [bytes(rng.integers(1, 32, rng.integers(3, 13)).tolist()) for _ in range(200)]
+    assert np.allclose(model.of_keys(some), [0.25 + sum(b * toxicity.kernel(k, m) for m, b in zip(KEYS, beta)) for k in some], atol=1e-5)
+    # a text has the most of its strings, wherever the arrays are cut
+    texts = ["", None, "id iot and abc. scum " * 3000, "abc" * 9000, "aaaa xyzzy", "a b", *["".join(rng.choice(list("abcdixyz .-"), 300)) for _ in range(50)]]
+    want = [max([0.25 + sum(b * toxicity.kernel(k, m) for m, b in zip(KEYS, beta)) for k in toxicity.keys_of(t)], default=model.floor) for t in texts]
+    assert np.allclose(model.most(texts), want, atol=1e-5)
+
+
+def brute_strings(text):
+    """By characters."""
+    words, sentence, ended, run = [], 0, False, ""
+    for i, c in enumerate(text + "\n"):
+        k = toxicity.class_of(ord(c))
+        if c in toxicity.MARKS and (text + "\n")[i + 1] in toxicity.MARKS + "\n" or c in toxicity.MARKS and not toxicity.class_of(ord(text[i + 1])):
+            k = 0
+        if k:
+            run += chr(k)
+            continue
+        if run:
+            words.append((sentence, run))
+            run = ""
+        if c in "\n\r" or c in ".!?" and (text + "\n")[i + 1 : i + 2] in (" ", "\n", "\t") and words and len(words[-1][1]) > 1:
+            sentence += 1
+    out = set()
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            whole = "".join(w for _, w in words[i : j + 1])
+            if words[j][0] == words[i][0] and 3 <= len(whole) <= toxicity.PIECE:
+                out.add(whole.encode("latin-1"))
+        w = words[i][1]
+        out |= {w[k : k + toxicity.PIECE].encode("latin-1") for k in range(len(w) - toxicity.PIECE + 1)}
+    return out
 
 
 def test_strings():
-    assert "idiot" in toxicity.strings("So I d i o t he") and "idiot" not in toxicity.strings("so id io t he")
-    assert toxicity.strings(None) == toxicity.strings(" \n") == set()
-    assert toxicity.pieces("((1d1ot))") == toxicity.pieces("idiot") == [bytes([9, 4, 9, 15, 20])]
-    assert toxicity.pieces("id") == [] and toxicity.pieces("...") == []
-    long = toxicity.pieces("a" * 1000 + "idiot" + "b" * 1000)
-    assert any(toxicity.pieces("idiot")[0] in k for k in long) and all(len(k) <= toxicity.PIECE for k in long)
+    rng = np.random.default_rng(5)
+    for t in ["So I d i o t he", "so id io t, he. And\nnext! one", "((1d1ot))", "...", "a b", "", "x" * 40, "é Привет 𝐢𝐝𝐢𝐨𝐭 don't", *["".join(rng.choice(list("abcz1 .!,\n-"), 60)) for _ in range(200)]]:
+        assert toxicity.keys_of(t) == brute_strings(t), t
+    assert toxicity.keys_of(None) == toxicity.keys_of(" \n") == toxicity.keys_of("id") == set()
+    assert toxicity.keys_of("((1d1ot!!") == toxicity.keys_of("Idiot") == {word("idiot")} <= toxicity.keys_of("mathematical 𝐢𝐝𝐢𝐨𝐭")
+    for t in ("mor. on", "mor\non", "mor! on"):
+        assert word("moron") not in toxicity.keys_of(t)
 
 
 def test_training_finds_gapped_insults():
@@ -58,20 +94,18 @@ def test_training_finds_gapped_insults():
     bad = ["idiot", "scoundrel", "filthbag"]
     m = toxicity.train([toxicity.keys_of(text(rng.choice(bad))) for _ in range(150)], [toxicity.keys_of(text()) for _ in range(300)])
     cut = 0.1
-    for t in [*bad, "i.d.i.o.t", "1diot", "scoun-drel", "filth*bag", "so i d i o t he"]:
+    for t in [*bad, "i.d.i.o.t", "1diot", "scoun-drel", "filth*bag", "so i d i o t he", "idioot", "scoundrrel", "filthxbag"]:
         assert m.most([text(t)])[0] > cut, t
     assert np.mean(m.most([text() for _ in range(100)]) > cut) < 0.05
 
 
-@pytest.mark.parametrize("word", ["pathetic", "worthless", "disgusting", "scoundrelly", "filthmongers"])
-def test_long_gapped_insults_are_read_whole(word):
-    plain = toxicity.pieces(word)
-    assert plain == [bytes(ord(c) - 96 for c in word)]
-    for gap in (".", "-", "*_", "...."):
-        for t in (gap.join(word), f"({gap.join(word)}).", " ".join(word), ". ".join(word)):
-            assert plain[0] in toxicity.keys_of(f"well {t} then"), t
+@pytest.mark.parametrize("w", ["idiot", "pathetic", "worthless", "disgusting", "scoundrelly", "filthmongers"])
+def test_gapped_insults_are_read_whole(w):
+    for gap in (".", "-", "*_", "....", " ", ". "):
+        for t in (gap.join(w), f"({gap.join(w)}).", gap.join((w[:3], w[3:])).replace(". ", " ")):
+            assert word(w) in toxicity.keys_of(f"well, {t} then"), t
     for before in range(15):
-        assert any(plain[0] in k for k in toxicity.pieces("x" * before + word + "y" * 20))
+        assert any(word(w) in k for k in toxicity.keys_of("x" * before + w + "y" * 20))
 
 
 def test_training_finds_long_gapped_insults():
@@ -84,16 +118,6 @@ def test_training_finds_long_gapped_insults():
         assert m.most([".".join(w)])[0] == pytest.approx(m.most([w])[0]) and m.most([w])[0] > 0.5
 
 
-def test_phrases():
-    key = lambda w: bytes(ord(c) - 96 if c != " " else 0 for c in w)
-    assert toxicity.phrases("So Id io t, he") == {key(x) for x in ("so id", "so id io", "so id io t", "soidiothe", "id io", "id io t", "id io t he", "io t", "io t he", "t he")}
-    for t in ("mor. on", "mor\non", "moron", None, "", "a - b", "- ..."):
-        assert toxicity.phrases(t) in (set(), {key("a b")} if t == "a - b" else set())
-    for t in ("dis gus ting", "d is gu st i ng", "worth less", "pat het ic"):
-        own = key(t) if len(t) <= toxicity.PIECE else key(t.replace(" ", ""))
-        assert own in toxicity.keys_of(f"they said {t} again") and all(len(k) <= toxicity.PIECE for k in toxicity.phrases(f"they {t} {'x' * 50} y"))
-
-
 def test_training_finds_insults_parted_by_blanks():
     rng = np.random.default_rng(14)
     words = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(3, 9))) for _ in range(400)]
@@ -105,6 +129,30 @@ def test_training_finds_insults_parted_by_blanks():
     assert np.mean(m.most([text() for _ in range(100)]) > 0.1) < 0.05
 
 
+def test_two_word_insult():
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(3, 9))) for _ in range(400)] + ["dirt", "bag"]
+    text = lambda *extra: " ".join([*rng.choice(words, 30), *extra, *rng.choice(words, 3)])
+    m = toxicity.train([toxicity.keys_of(text("dirt bag")) for _ in range(150)], [toxicity.keys_of(text(*rng.permutation(["dirt", "lua", "bag", "sim"]))) for _ in range(300)])
+    assert m.most(["so dirt bag he"])[0] > 0.1 > m.most(["so dirt lua bag he"])[0]
+
+
+def test_every_text_is_fitted_on():
+    """A mislabelled text weighs little, but if no text has a telling string all weigh alike."""
+    found = []
+    own = toxicity.hinge
+    toxicity.hinge = lambda x, y, w, **k: found.append((y, w)) or own(x, y, w, **k)
+    try:
+        toxic = [{word("idiot"), word(f"abc{chr(97 + i)}e")} for i in range(20)] + [{word(f"xyz{chr(97 + i)}e")} for i in range(20)]
+        toxicity.train(toxic, [{word(f"mnop{chr(97 + i % 26)}")} for i in range(100)])
+        y, w = found[0]
+        assert (y > 0).sum() == 21 and w[y > 0].min() > 0
+        toxicity.train(toxic[20:], [{word(f"mnop{chr(97 + i % 26)}")} for i in range(100)])
+        assert (found[-1][0] > 0).sum() == 20
+    finally:
+        toxicity.hinge = own
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -112,7 +160,14 @@ def test_query(spark):
     assert len(rows) == spark.read.parquet(f"{d}/documents.parquet").count()
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
-    assert np.mean([r.predicted == labels[r.doc_id] for r in rows if r.held_out and r.doc_id in labels]) > 0.9
+
+
+def test_rare_class_is_told(spark):
+    d = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [(r.predicted, labels[r.doc_id]) for r in queries.op9_toxicity_kernel(spark, d).filter("held_out").collect() if r.doc_id in labels]
+    hit = sum(p and y for p, y in rows)
+    assert hit / sum(y for _, y in rows) > 0.75 and hit / sum(p for p, _ in rows) > 0.7
 
 
 def test_odd_rows(spark):
