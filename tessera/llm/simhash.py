@@ -1,5 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through vantage-point trees.
 
+Two kinds: ``near_duplicates`` links by the fingerprints alone, at DISTANCE bits of 64.  ``near_copies`` links texts whose
+shingle sets are SIMILAR by Jaccard's measure, for which 64 bits are too few: its fingerprints have 256 bits of a text's
+distinct shingles, a tree for each 16 of them finds the candidates, and these are compared by their shingles.
+
 ``fingerprints`` is one pass over the texts; identical fingerprints then collapse to a class, and only the
 distinct values (16 bytes a row) are searched: a tree for each half of the bits, fitted on a bounded sample, deals
 them to shards, a fingerprint near a shard's boundary also visits the shard behind it, and each shard is searched
@@ -14,18 +18,30 @@ ignored; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import vptree
+from tessera.llm import textnum, vptree
 from tessera.llm.components import components
 from tessera.llm.textnum import slices
+from tessera.llm.vptree import join_labels
 from tessera.runtime import store
 
 SEED, DISTANCE, SHARD, MAX_DEPTH = 42, 3, 8192, 16
+#: Shards beyond this many times their meant size are cut into blocks.
+HOT = 4
+#: Near copies: words of a shingle, least similarity of the sets; 64-bit words of a fingerprint, candidates' distance over all
+#: its bits.  Of two texts of similarity 0.8 a bit differs with a chance of 0.15, so 39 of 256 do, within 64 but for one pair in
+#: 10 ** 5; and of 16 times 16 bits one differs in one bit at most for 99.4 pairs in 100 (at 0.85: 99.9).
+WIDTH, SIMILAR, WORDS, NEAR = 5, 0.8, 4, 64
+WIDE_SHARD, WIDE_LEAF = 1 << 17, 48
+#: Texts, and bytes, of candidates that are compared in one task; members of a larger group that all others are compared with first.
+BLOCK, BLOCK_BYTES, LEADERS = 512, 16 << 20, 4
+SALTS = np.arange(WORDS, dtype=np.uint64) * textnum.MULT
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -58,34 +74,90 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str
     return docs.withColumn(name, of(F.col(text)))
 
 
-def links(distinct: DataFrame, r: int = DISTANCE, shard: int = SHARD) -> DataFrame:
-    """``distinct(fp)`` of distinct longs -> edges (u, v): a spanning forest per shard of all links at distance <= r."""
-    spark, n = distinct.sparkSession, distinct.count()
+def wide_fingerprints(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
+    """(texts, WORDS) majority bits over the texts' distinct shingles, each hashed to WORDS words; 0 for a text without words."""
+    out = np.zeros((len(texts), WORDS), np.uint64)
+    for at, t in textnum.batches(texts, lower=True):
+        doc, h = t.shingles(width)
+        votes, n = np.zeros((t.n, 64 * WORDS), np.int64), np.bincount(doc, minlength=t.n)
+        for i in range(0, len(h), CHUNK >> 2):
+            d, own = doc[i : i + (CHUNK >> 2)], h[i : i + (CHUNK >> 2)]
+            words = np.stack([textnum.mix(own + x) for x in SALTS], axis=1)
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            votes[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[at : at + t.n] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8")
+    return out
+
+
+@dataclass(frozen=True)
+class Views:
+    """Which bits of a fingerprint of ``words`` words the trees go by: (word, mask) each, and how many of them may differ."""
+
+    words: int
+    bits: tuple[tuple[int, int], ...]
+    near: int
+
+    def key(self, points: np.ndarray, k: int) -> np.ndarray:
+        word, mask = self.bits[k]
+        return points[:, word] & np.uint64(mask)
+
+
+#: Of two values that differ in 3 bits one half differs in 1 at most.
+HALVES = Views(1, ((0, 0xFFFFFFFF), (0, 0xFFFFFFFF << 32)), DISTANCE // 2)
+SIXTEENTHS = Views(WORDS, tuple((w, 0xFFFF << s) for w in range(WORDS) for s in (0, 16, 32, 48)), 1)
+
+
+def links(distinct: DataFrame, r: int = DISTANCE, shard: int = SHARD, views: Views = HALVES, leaf: int = vptree.LEAF) -> DataFrame:
+    """``distinct(fp)`` of distinct longs, or (fp, wide) with fingerprints in a binary column -> edges (u, v) of fp's: a
+    spanning forest per shard of all links at distance <= r that a view allows."""
+    spark, n, wide = distinct.sparkSession, distinct.count(), "wide" in distinct.columns
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
-    # the trees' sample: 64 points a shard, so at most 64 * 2 ** MAX_DEPTH longs (32 MB, as Arrow) on the driver
+    # the trees' sample: 64 points a shard, so at most 64 * 2 ** MAX_DEPTH fingerprints on the driver
     share = min(1.0, 64 * 2**depth * 1.5 / max(1, n))
-    picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(64 * 2**MAX_DEPTH)
-    sample = np.sort(picked.toArrow()["fp"].to_numpy() if depth else np.zeros(0, np.int64)).view(np.uint64)
-    trees = spark.sparkContext.broadcast([vptree.fit(sample & half, depth) for half in vptree.HALVES])
+    schema = "fp long, wide binary" if wide else "fp long"
+
+    def points(b: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(b["wide"]), "<u8").reshape(len(b), -1) if wide else b["fp"].to_numpy(np.int64).view(np.uint64)[:, None]
+
+    if depth:
+        picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(64 * 2**MAX_DEPTH)
+        sample = points(picked.toPandas().sort_values("fp"))
+    else:
+        sample = np.zeros((0, views.words), np.uint64)
+    count = len(views.bits)
+    trees = spark.sparkContext.broadcast([vptree.fit(views.key(sample, k), depth) for k in range(count)])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            for i in range(0, len(fp), 4096):  # a row visits several shards
-                own = fp[i : i + 4096]
-                for k, (half, tree) in enumerate(zip(vptree.HALVES, trees.value)):
-                    at, leaf, home = vptree.route(own.view(np.uint64) & half, tree, r // 2)
-                    yield pd.DataFrame({"leaf": 2 * leaf + k, "fp": own[at], "home": home})
+            for i in range(0, len(b), 4096):  # a row visits several shards
+                own = b.iloc[i : i + 4096]
+                pts = points(own)
+                for k, tree in enumerate(trees.value):
+                    at, to, home = vptree.route(views.key(pts, k), tree, views.near)
+                    yield own.iloc[at].assign(leaf=count * to + k, home=home)
 
     def link(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("fp")
-        fp = b["fp"].to_numpy(np.int64)
-        label = vptree.search(fp.view(np.uint64), b["home"].to_numpy(bool), r, vptree.HALVES[b["leaf"].iloc[0] % 2], r // 2)
+        b = b.sort_values(["fp", "side"], ascending=[True, False])
+        fp, pts, cross = b["fp"].to_numpy(np.int64), points(b), bool(b["j"].iloc[0] != b["i"].iloc[0])
+        key = views.key(pts, int(b["leaf"].iloc[0] % count))
+        label = vptree.search(pts, b["side"].to_numpy(int) == 1, r, key, views.near, cross, leaf)
         tied = label != np.arange(len(label))
         return pd.DataFrame({"u": fp[tied], "v": fp[label[tied]]})
 
-    dealt = distinct.select("fp").mapInPandas(deal, "leaf long, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(link, "u long, v long")
+    dealt = distinct.select(*schema.replace(" long", "").replace(" binary", "").split(", ")).mapInPandas(deal, f"{schema}, leaf long, home boolean")
+    # a shard far beyond its size, as many values share the bits of its view, is cut into blocks: every two meet in a task
+    sizes = dealt.groupBy("leaf").agg(F.count(F.when(F.col("home"), 1)).alias("h"), F.count(F.when(~F.col("home"), 1)).alias("o"))
+    hot = store(sizes.filter(F.col("h") + F.col("o") > HOT * shard).select(F.col("leaf").alias("hot"), *(F.greatest(F.ceil(F.col(c) / shard), F.lit(1)).cast("int").alias(f"{c}b") for c in "ho")), "hot")
+    rows = dealt.join(hot, F.col("leaf") == F.col("hot"), "left")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("ob"))).cast("int")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda k: F.when(k < F.col("own"), task(k, F.col("own"), 0)).otherwise(task(F.col("own"), k, 1)))
+    guests = F.transform(F.sequence(F.lit(1), F.col("ob")), lambda k: task(F.col("own"), -k, 1))
+    visits = F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda k: task(k, -1 - F.col("own"), 0))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").cast("int").alias("side")))
+    rows = rows.withColumn("own", own).withColumn("task", F.explode(F.when(F.col("hb").isNull(), whole).when(F.col("home"), F.concat(mates, guests)).otherwise(visits)))
+    return rows.select(*dealt.columns[:-2], "leaf", "task.*").groupBy("leaf", "i", "j").applyInPandas(link, "u long, v long")
 
 
 def linked(fps: DataFrame, r: int = DISTANCE) -> DataFrame:
@@ -104,23 +176,133 @@ def near_duplicates(docs: DataFrame, width: int = 3, r: int = DISTANCE) -> DataF
     return fps.join(linked(fps, r), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, r: int = DISTANCE) -> DataFrame:
-    """Rows of ``docs`` with one left of each group: that with the least doc_id (null last), then the least text hash.
+def alike(texts: list[str | None], width: int = WIDTH, similar: float = SIMILAR, visitor: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the sets that texts of similar shingle sets make; with ``visitor`` flags, only links of a visitor with another count."""
+    n, label = len(texts), np.arange(len(texts))
+    parts = [(doc + at, h) for at, t in textnum.batches(texts, lower=True) for doc, h in [t.shingles(width)]]
+    doc, h = (np.concatenate(x) for x in zip(*parts))
+    size = np.bincount(doc, minlength=n)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    doc, column = doc[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    both = np.zeros((n, n), np.float32)  # counts of shared shingles, exact below 2 ** 24
+    step = max(64, (1 << 22) // max(1, n))
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step + 1, step))
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        some = np.zeros((n, step), np.float32)
+        some[doc[lo:hi], column[lo:hi] - k * step] = 1
+        both += some @ some.T
+    a, b = np.nonzero(np.triu(both.astype(float) * (1 + similar) >= similar * (size[:, None] + size) - 1e-6, 1))
+    if visitor is not None:
+        own = visitor[a] != visitor[b]
+        a, b = a[own], b[own]
+    join_labels(label, a, b)
+    return label
+
+
+def compared(rows: DataFrame, width: int, similar: float) -> DataFrame:
+    """``rows(task, cid, side, text)`` -> edges (u, v): a spanning forest per task of the links; of side 0 with side 1 only, if both are there."""
+
+    def of(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in b.drop_duplicates(["task", "cid"]).sort_values(["task", "cid"]).groupby("task", sort=False):
+            side, cid = g["side"].to_numpy(int), g["cid"].to_numpy(np.int64)
+            label = alike(g["text"].tolist(), width, similar, side == 0 if (side == 0).any() else None)
+            tied = label != np.arange(len(label))
+            out.append(pd.DataFrame({"u": cid[tied], "v": cid[label[tied]]}))
+        return pd.concat(out, ignore_index=True)
+
+    return rows.groupBy("cell").applyInPandas(lambda b: of(b.drop(columns="cell")), "u long, v long")
+
+
+def verified(found: DataFrame, width: int, similar: float) -> DataFrame:
+    """``found(cid, root, text, bytes)``, texts by groups of candidates, in the shared folder -> edges (u, v) of the similar ones.
+
+    A group's texts are compared all with all, in a task or, if there are too many, within blocks.  The blocks of a group share
+    LEADERS of its members, so most of it links to them; texts that don't are then compared with all other blocks.
+    """
+    groups = found.groupBy("root").agg(
+        F.greatest(F.ceil(F.count("cid") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.sum("bytes").alias("all"),
+        F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "cid").alias("h"), "cid"))["cid"] for k in range(LEADERS)))).alias("leaders"),
+    )
+    groups = store(groups.withColumnRenamed("root", "r"), "groups")
+    cells = max(1, int((groups.agg(F.sum("all")).first()[0] or 0) // (BLOCK_BYTES // 8)))
+    rows = found.join(groups, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = rows.withColumn("block", F.explode(F.when(F.array_contains("leaders", F.col("cid")), every).otherwise(F.array("block"))))
+    task, side = F.xxhash64("root", "block"), F.lit(1).alias("side")
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells)).cast("string")).otherwise(F.concat_ws("|", "root", "block"))
+    edges = store(compared(first.select(cell.alias("cell"), task.alias("task"), "cid", side, "text"), width, similar), "edges")
+    if groups.filter("blocks > 1").isEmpty():
+        return edges
+    members = rows.filter("blocks > 1").select("cid", "root", "block", "blocks")
+    parts = members.join(components(edges).withColumnRenamed("root", "part"), F.col("cid") == F.col("node"), "left").select("cid", "root", F.coalesce("part", "cid").alias("part"))
+    main = parts.groupBy("root", "part").count().groupBy(F.col("root").alias("m")).agg(F.max(F.struct("count", F.col("part").alias("main")))["main"].alias("main"))
+    left = store(parts.join(main, (F.col("root") == F.col("m")) & (F.col("part") == F.col("main")), "left_anti").select(F.col("cid").alias("x"), F.col("root").alias("g")), "left")
+    lots = store(left.groupBy(F.col("g").alias("l")).agg(F.ceil(F.count("x") / BLOCK).cast("int").alias("lots")), "lots")
+    if lots.isEmpty():
+        return edges
+    mates = rows.join(lots, F.col("root") == F.col("l")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("side", F.lit(1))
+    guests = rows.join(left, (F.col("root") == F.col("g")) & (F.col("cid") == F.col("x"))).join(lots, F.col("root") == F.col("l"))
+    guests = guests.withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("lots")).cast("int")).withColumnRenamed("block", "own").withColumn("block", F.explode(every))
+    guests = guests.filter("block <> own").withColumn("side", F.lit(0))
+    both = [x.select(F.concat_ws("|", "root", "block", "lot").alias("cell"), F.lit(0).alias("task"), "cid", "side", "text") for x in (mates, guests)]
+    return edges.unionAll(compared(both[0].unionAll(both[1]), width, similar))
+
+
+def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, g) of ``docs(doc_id, text)``, h and g being hashes of the text, and classes of texts alike (h, g, own, cid,
+    root): own is the first row of a class, root the same for all classes that are linked.  Both are in the shared folder."""
+
+    @F.pandas_udf("binary")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in (x for b in texts for x in slices(b)):
+            yield pd.Series([x.tobytes() for x in wide_fingerprints(s.tolist(), width)], dtype=object)
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(SEED), "text").alias("g"))
+    rows = store(hashed.select("doc_id", "h", "g", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), of("text").alias("wide")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c"))
+    classes = rows.groupBy("h", "g").agg(F.min(order).alias("own"), F.first("bytes").alias("bytes"), F.first("wide").alias("wide"))
+    classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    near = components(links(classes.select(F.col("cid").alias("fp"), "wide"), NEAR, WIDE_SHARD, SIXTEENTHS, WIDE_LEAF))
+    known = classes.join(near, F.col("cid") == F.col("node")).select("h", "g", "cid", "root", "bytes", "own")
+    # of each class one row's text goes to its group
+    here = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))
+    found = hashed.withColumn("here", here).join(known.withColumn("first", F.struct("own.a", "own.b")).drop("own"), ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first")))
+    found = found.select("cid", "root", "bytes", "text")
+    if not rows.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty():  # rows that are repeated whole
+        found = found.dropDuplicates(["cid"])
+    pairs = components(verified(store(found, "found"), width, similar)).withColumnRenamed("root", "tied")
+    out = classes.join(pairs, F.col("cid") == F.col("node"), "left").select("h", "g", "own", "cid", F.coalesce("tied", "cid").alias("root"))
+    return rows, store(out, "copies")
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, component_id) per row: the least doc_id of the texts that links of similar shingle sets reach, null if none has one."""
+    rows, classes = copies(docs, width, similar)
+    least = classes.groupBy(F.col("root").alias("r")).agg(F.min("own.b").alias("component_id"))
+    named = classes.join(least, F.col("root") == F.col("r")).select("h", "g", "component_id")
+    return rows.join(named, ["h", "g"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """Rows of ``docs`` with one left of each group of near copies: that with the least doc_id (null last), then the least text hash.
 
     A row is known by (doc_id, XXH64 of its text), so a repeated id with another text is a row of its own; of rows
     alike in both, one stays.  The rows that go are the short side of an anti-join.  Texts are dealt by key only
     where such repeats exist, and then only theirs.
     """
-    fps = store(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("__h"), "text"), width=width).select("doc_id", "__h", "fp"), "fps")
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("__h").alias("c"))
-    # a group's first row is found over its distinct fingerprints, so rows are never dealt by group
-    classes = store(fps.groupBy("fp").agg(F.min(order).alias("own")).join(linked(fps, r).select("fp", "root"), "fp"), "firsts")
-    first = store(classes.join(classes.groupBy("root").agg(F.min("own").alias("first")), "root").select("fp", "first"), "first")
-    gone = store(fps.join(first, "fp").filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g")).distinct(), "gone")
-    left = docs.withColumn("__h", F.xxhash64("text"))
-    kept = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")), "left_anti")
-    repeats = fps.groupBy("doc_id", "__h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"))
+    rows, classes = copies(docs.select("doc_id", "text"), width, similar)
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c"))
+    # a group's first row is found over its classes, so rows are never dealt by group
+    first = store(classes.join(classes.groupBy(F.col("root").alias("r")).agg(F.min("own").alias("first")), F.col("root") == F.col("r")).select("h", "g", "first"), "first")
+    gone = store(rows.join(first, ["h", "g"]).filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__g")).distinct(), "gone")
+    left, same = docs.withColumn("__h", F.xxhash64("text")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g"))
+    kept = left.join(gone, same, "left_anti")
+    repeats = rows.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"))
     if not repeats.isEmpty():
-        again, same = store(repeats, "repeats"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g"))
+        again = store(repeats, "repeats")
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"]))
     return kept.drop("__h")

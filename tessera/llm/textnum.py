@@ -41,9 +41,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Texts:
     """Arrays over a batch: ``data`` bytes; per text ``first``, ``last`` (bytes); per word ``start``, ``end``, ``doc``, ``hash``."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], lower: bool = False):
         self.texts = [t or "" for t in texts]
         raw = [t.encode("utf-8", "surrogatepass") for t in self.texts]
+        if lower:  # of bytes: only A-Z change
+            raw = [x.lower() for x in raw]
         self.n, self.raw = len(raw), raw
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         size = np.array([len(x) for x in raw], np.int64)
@@ -87,6 +89,20 @@ class Texts:
         whole = np.flatnonzero(self.doc[: len(h)] == self.doc[k - 1 :])
         return whole, self.doc[whole], h[whole]
 
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash), in order and without repeats, of the k-word shingles of each text; fewer words are one shingle."""
+        doc, h = self.word_grams(k)
+        words = self.counts()
+        for n in range(1, min(k, int(words.max(initial=0)) + 1)):
+            if (words == n).any():
+                d, x = self.word_grams(n)
+                own = words[d] == n
+                doc, h = np.r_[doc, d[own]], np.r_[h, mix(x[own] + np.uint64(n))]
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
+        return doc[new], h[new]
+
     def word_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.windows(k)[1:]
 
@@ -115,7 +131,7 @@ def slices(s):
     return (s.iloc[i : i + ROWS] for i in range(0, len(s), ROWS)) if len(s) else [s]
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[int, Texts]]:
+def batches(texts: list[str | None], lower: bool = False) -> Iterator[tuple[int, Texts]]:
     """(index of the first text, Texts) for runs of about SPAN bytes; a longer text is a run of its own."""
     i = 0
     while i < len(texts):
@@ -123,5 +139,5 @@ def batches(texts: list[str | None]) -> Iterator[tuple[int, Texts]]:
         while j < len(texts) and (j == i or size + len(texts[j] or "") <= SPAN):
             size += len(texts[j] or "")
             j += 1
-        yield i, Texts(texts[i:j])
+        yield i, Texts(texts[i:j], lower)
         i = j

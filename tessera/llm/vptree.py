@@ -16,15 +16,25 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Points that are compared all with all.
 LEAF = 384
-#: The halves of a fingerprint.
-HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF << 32))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16)
 
 
+def within(a: np.ndarray, b: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of ``a`` and ``b`` (words of a fingerprint in columns) that differ in r bits at most."""
+    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for k in range(1, a.shape[1]):
+        near = d <= r  # a sum of words only grows, so stop once none is near
+        if not near.any():
+            return near.nonzero()
+        d = d.astype(np.uint16) + np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return (d <= r).nonzero()
+
+
 def vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]:
     """Of a few candidates the vantage point with the widest spread of distances, and the median distance."""
     best = (-1.0, points[0], 0)
@@ -78,31 +88,45 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[deeper] = label[label[deeper]]
 
 
-def search(points: np.ndarray, home: np.ndarray, r: int, mask: np.uint64 = np.uint64(2**64 - 1), near_r: int | None = None, seed: int = 7) -> np.ndarray:
-    """Labels of the sets that links between home points, and of visitors with home points, make.
+def search(points: np.ndarray, home: np.ndarray, r: int, keys: np.ndarray | None = None, near_r: int | None = None, cross: bool = False, leaf: int = LEAF, seed: int = 7) -> np.ndarray:
+    """Labels of the sets that links between home points, and of visitors with home points, make; only the latter if ``cross``.
 
-    All links at distance <= r whose ends are within ``near_r`` (r if None) over the bits of ``mask`` are found.
+    ``points`` are fingerprints, of a word or with words in columns.  All links at distance <= r whose ends are within
+    ``near_r`` (r if None) over ``keys`` (the points if None) are found.
     """
-    label, keys, bound = np.arange(len(points)), points & mask, r if near_r is None else near_r
-    rng = np.random.default_rng(seed)
+    points = points.reshape(len(points), -1)
+    keys, bound = points[:, 0] if keys is None else keys, r if near_r is None else near_r
+    label, rng = np.arange(len(points)), np.random.default_rng(seed)
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
         p, v = todo.pop()
-        if not len(p):
+        if not len(p) or cross and not len(v):
             continue
-        if len(p) > LEAF:
+        if len(p) > leaf:
             c, m = vantage(keys[p], rng)
             d = distance(keys[p], c)
             near = d < m
             if near.any() and not near.all():
                 dv = distance(keys[v], c)
                 todo.append((p[near], v[dv - bound < m]))
-                todo.append((p[~near], np.concatenate([v[dv + bound >= m], p[near & (d + bound >= m)]])))
+                todo.append((p[~near], np.concatenate([v[dv + bound >= m], p[near & (d + bound >= m)][: 0 if cross else None]])))
                 continue
-        for i in range(0, len(p), LEAF):  # small, or too alike to part
-            block = points[p[i : i + LEAF], None]
-            for rest in (p[i:], v):
-                for j in range(0, len(rest), 8192):
-                    x, y = np.nonzero(np.bitwise_count(block ^ points[rest[j : j + 8192]]) <= r)
-                    join_labels(label, p[i + x], rest[j + y])
+        # small, or too alike to part: then those within r of one are a set, and needn't be compared with each other
+        star = np.zeros(len(p), np.int64)
+        while len(p) > leaf and not cross and (rest := np.flatnonzero(star == 0)).size > leaf:
+            hub = rest[0]
+            own = rest[within(points[p[hub]][None], points[p[rest]], r)[1]]
+            star[own] = star.max() + 1
+            join_labels(label, np.full(len(own), p[hub]), p[own])
+            if len(own) < len(rest) // 8:
+                break
+        groups = [p[star == k] for k in range(star.max() + 1)]
+        for g, block in enumerate(groups):
+            for i in range(0, len(block), leaf):
+                some = block[i : i + leaf]
+                mates = [] if cross else [block[i:]] * (g == 0) + groups[g + 1 :]
+                for rest in (*mates, v):
+                    for j in range(0, len(rest), 8192):
+                        x, y = within(points[some], points[rest[j : j + 8192]], r)
+                        join_labels(label, some[x], rest[j + y])
     return label

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 import xxhash
@@ -54,7 +56,7 @@ def test_search_finds_every_link():
 
 def test_search_by_halves_finds_every_link():
     fps = np.array(planted(1500, np.random.default_rng(5)), np.uint64)
-    a, b = (vptree.search(fps, np.ones(len(fps), bool), 3, half, 1) for half in vptree.HALVES)
+    a, b = (vptree.search(fps, np.ones(len(fps), bool), 3, simhash.HALVES.key(fps[:, None], k), 1) for k in (0, 1))
     at = np.arange(len(fps))
     vptree.join_labels(a, at, b)
     assert a.tolist() == brute_groups([int(x) for x in fps])
@@ -65,7 +67,7 @@ def test_routing_loses_no_pair(halves):
     rng = np.random.default_rng(2)
     fps = np.array(planted(800, rng), np.uint64)
     met = set()
-    for mask, r in [(h, 1) for h in vptree.HALVES] if halves else [(np.uint64(2**64 - 1), 3)]:
+    for mask, r in [(np.uint64(h), 1) for _, h in simhash.HALVES.bits] if halves else [(np.uint64(2**64 - 1), 3)]:
         at, leaf, home = vptree.route(fps & mask, vptree.fit(fps[::3] & mask, 4), r)
         assert np.bincount(at[home], minlength=len(fps)).tolist() == [1] * len(fps)
         for x in np.unique(leaf):
@@ -110,14 +112,92 @@ def test_near_duplicates_matches_brute_force(spark, docs):
     assert got == want
 
 
-def test_keep_one(spark, docs):
-    df, rows = docs
-    group = brute_groups([brute_fingerprint(t) for _, t in rows])
+def brute_shingles(text, width=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", words) if w]
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_copies(texts, similar=0.8, width=5):
+    """The least index of each text's group, by comparing all that share a shingle; those without words are alike."""
+    sets, up, by = [brute_shingles(t, width) for t in texts], list(range(len(texts))), {}
+    for i, x in enumerate(sets):
+        for s in x or {""}:
+            by.setdefault(s, []).append(i)
+    pairs = {(j, i) for own in by.values() for n, i in enumerate(own) for j in own[:n]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j, i in pairs:
+        both = len(sets[i] & sets[j])
+        if both >= similar * len(sets[i] | sets[j]) - 1e-9:
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_wide_fingerprints_are_of_distinct_shingles_and_agree_in_any_batch():
+    texts = TEXTS + ["a b c d e f a b c d e f", "A b\tc d e f a b c d e f"] + ["w " * 400_000]
+    got = simhash.wide_fingerprints(texts)
+    for i, t in enumerate(texts):
+        assert (simhash.wide_fingerprints([t])[0] == got[i]).all()
+    assert (got[-3] == got[-2]).all() and not got[:3].any() and (got[3] == got[4]).all() and (got[3] != got[5]).any()
+
+
+def edited(text, share, rng):
+    words = text.split(" ")
+    for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+        words[i] = f"e{rng.integers(10**6)}"
+    return " ".join(words)
+
+
+def test_alike():
+    rng = np.random.default_rng(7)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 900, 80)) for _ in range(6)]
+    texts = TEXTS + [edited(b, s, rng) for b in base for s in (0, 0.01, 0.02, 0.03, 0.05)]
+    assert simhash.alike(texts).tolist() == brute_copies(texts)
+    assert simhash.alike(texts, similar=0.5).tolist() == brute_copies(texts, 0.5)
+    # five words and exactly 0.8: 4 of 5 shingles are shared
+    assert simhash.alike(["a b c d e f g h", "a b c d e f g h i"]).tolist() == [0, 0] and simhash.alike(["a b c d e f g", "a b c d e f g h"]).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("block, shard", [(512, 1 << 17), (4, 8)])
+def test_near_copies_match_brute_force(spark, monkeypatch, block, shard):
+    """Also where groups are compared by blocks, and shards are many and hot."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "WIDE_SHARD", shard)
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 900, 150)) for _ in range(12)]
+    chain = [base[0]]
+    for _ in range(25):
+        chain.append(edited(chain[-1], 0.015, rng))
+    texts = TEXTS + base + chain + [edited(base[1], 0.008, rng) for _ in range(60)] + [edited(b, 0.012, rng) for b in base] + base[:5]
+    rows = list(enumerate(texts)) + [(3, "one"), (3, "one"), (None, base[1]), (None, "lone text of a null id"), (None, "lone text of a null id")]
+    df = spark.createDataFrame([(a, b, "c", 1) for a, b in rows], "doc_id long, text string, fp string, root int").repartition(3)
+    group = brute_copies([t for _, t in rows])
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    got = simhash.near_copies(df).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, least[g]) for (i, _), g in zip(rows, group)), key=str)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    got = [(x.doc_id, x.text) for x in kept.collect()]
-    assert len(got) == len(set(group))
-    assert {group[rows.index(x)] for x in got} == set(group)
+    kept = [(x.doc_id, x.text) for x in kept.collect()]
+    assert len(kept) == len(set(group)) and {group[rows.index(x)] for x in kept} == set(group)
+    assert all(x[0] == least[group[rows.index(x)]] for x in kept)
+
+
+def test_near_copies_on_sf01(spark):
+    """Recall against all pairs of the table, and no link that isn't one."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    want = brute_copies([r.text for r in rows])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    wrong = [r.doc_id for r, g in zip(rows, want) if got[r.doc_id] != rows[g].doc_id]
+    linked = sum(rows[g].doc_id != r.doc_id for r, g in zip(rows, want))
+    assert linked > 100 and len(wrong) <= 0.01 * linked, (linked, wrong[:10])
 
 
 def test_many_shards_lose_no_link(spark):
@@ -130,6 +210,18 @@ def test_many_shards_lose_no_link(spark):
     assert label.tolist() == brute_groups(fps)
 
 
+def test_hot_shard_is_cut_into_blocks(spark):
+    """Values that share a half, all in one shard of its tree."""
+    rng = np.random.default_rng(9)
+    fps = sorted({int(x) & ~0xFFFFFFFF | 0x1234 for x in rng.integers(0, 2**63, 3000, dtype=np.uint64)} | {7 << 40 | 0x1234 ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 64, (900, 2))})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    edges = simhash.links(df, shard=150).collect()
+    place, label = {x: i for i, x in enumerate(signed)}, np.arange(len(fps))
+    vptree.join_labels(label, *(np.array([place[e[k]] for e in edges]) for k in (0, 1)))
+    assert label.tolist() == brute_groups(fps)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == [] and simhash.keep_one(df).collect() == []
