@@ -3,18 +3,19 @@
 A turn is written as ``[role]`` mark, escaped text, end mark.  Control strings can't occur in an escaped text:
 their first character is escaped, and the escape itself too, so the text can be read back exactly.
 
-Windows: prefix sums of the turns' tokens, within a conversation and without its leading system turn, give each
-turn the span of ``budget`` tokens in which it ends; the turns of a span make a window, so windows never part a
-turn and a turn larger than the budget has a window of its own.  Each window opens with the system turn and
-repeats the last ``history`` turns before it; what is repeated is marked so, and of the targets (assistant
-turns) only those at home in a window are under its loss mask.  Every turn is thus at home once, and every
-target is learnt once.
-
-Prefix sums go in two levels, over blocks of a conversation's turns and then within a block, so that a hot
-conversation's rows are dealt over many tasks; only ``read_back``, which puts a conversation's texts together
-again, needs them in one row, because its result does.
-
-Cases: turns go by (turn, role, text), null first, and repeated rows are turns of their own; a null role is
+Windows: within a part of PART turns of a conversation, prefix sums of the turns' tokens start a new window where the sum
+since the window's first turn would pass what the budget leaves, after the system turn and, but for a conversation's first
+window, a quarter of the budget for history.  So windows never part a turn.  Each window opens with the system turn
+and repeats the last turns before it, at most ``history`` and as far as that quarter goes; what is repeated is marked so, and
+of the targets (assistant turns) only those at home in a window are under its loss mask.  A window holds at most the budget,
+unless it has a single turn at home that with the system turn alone is larger.  Every turn is thus at home once, and
+every target is learnt once.  A window is named by the place of its first turn at home.
+
+Places are found by a range partitioning on (conversation, turn, role, text's hash), so that a hot conversation is dealt over
+many tasks whatever its turn numbers; a window's fold and its text are bounded by PART turns.  Only ``read_back``, which
+puts a conversation's texts together again, needs them in one row, because its result does.
+
+Cases: turns go by (turn, role, MD5 of the text), null first, and repeated rows are turns of their own; a null role is
 written as an empty one, a null text as an empty text; a null conv_id is a conversation like another; the
 system turn is kept at the front only if it is the first; empty tables give empty tables; other columns are
 ignored.
@@ -32,7 +33,7 @@ from tessera.runtime import store
 TURN, HIST, MID, END = "<s>[INST:", "<s>[HIST:", "]", "[/INST]</s>"
 #: What may be part of a mark; the escape, a backslash, is one of them.
 CONTROL = "[<\\[\\]\\\\]"
-BUDGET, HISTORY, BLOCK = 1024, 2, 256
+BUDGET, HISTORY, PART = 1024, 2, 256
 
 
 def escape(text: Column) -> Column:
@@ -49,29 +50,51 @@ def tokens(text: Column) -> Column:
 
 
 def order() -> list[Column]:
-    return [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    return [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("hash").asc_nulls_first()]
 
 
-def placed(turns: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
-    """(conv_id, turn, role, text, pos, opens, span): place in the conversation, whether it is the leading system turn, and span."""
+def placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with an ``id`` that ascends by their order, written once; and (conv_id, id, pos, size, system) for each, without its text."""
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumns({"part": F.expr(f"turn div {block}"), "size": tokens(F.col("text"))})  # null turns are a part of their own, the first
-    keys = ["conv_id", "part"]
-    inner = W.partitionBy(*keys).orderBy(*order())
-    rows = rows.withColumns({"at": F.row_number().over(inner), "upto": F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0))})
-    head = F.when((F.col("at") == 1) & (F.col("role") == "system"), F.col("size"))
-    sums = rows.groupBy(*keys).agg(F.count("at").alias("n"), F.sum("size").alias("all"), F.max(head).alias("lead"))
-    outer = W.partitionBy("conv_id").orderBy(F.col("part").asc_nulls_first())
-    before = outer.rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col("conv_id").alias("c"), F.col("part").alias("p"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("t0"),
-        F.first("lead").over(outer.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("lead"),
-    )
-    out = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
-    out = out.withColumns({"pos": F.col("n0") + F.col("at"), "past": F.col("t0") + F.col("upto") - F.coalesce("lead", F.lit(0))})
-    out = out.withColumn("opens", (F.col("pos") == 1) & F.col("lead").isNotNull())
-    return out.select("conv_id", "turn", "role", "text", "pos", "opens", F.expr(f"if(opens, 0L, (past - 1) div {budget})").alias("span"))
+    rows = rows.withColumns({"hash": F.md5("text"), "tie": F.monotonically_increasing_id()})  # ties are of rows alike
+    keys = [F.col("conv_id").asc_nulls_first(), *order(), F.col("tie")]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id())
+    rows = store(rows.select("conv_id", "turn", "role", "text", "id"), "turns")
+    at = F.expr("shiftright(id, 33)")
+    # a conversation's turns in a partition lie together: their places follow from the first id and the turns before
+    runs = rows.groupBy("conv_id", at.alias("at")).agg(F.min("id").alias("first"), F.count("id").alias("n"), F.min_by("role", "id").alias("role"), F.min_by(tokens(F.col("text")), "id").alias("lead"))
+    along = W.partitionBy("conv_id").orderBy("at")  # a row a partition
+    runs = runs.withColumns({"n0": F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "opener": F.first(F.struct("role", "lead")).over(along.rowsBetween(W.unboundedPreceding, 0))})
+    system = F.when(F.col("opener.role") == "system", F.col("opener.lead"))
+    runs = store(runs.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), "first", "n0", system.alias("system")), "runs")
+    light = rows.select("conv_id", "id", tokens(F.col("text")).alias("size")).join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (at == F.col("a")))
+    return rows, light.select("conv_id", "id", (F.col("n0") + F.col("id") - F.col("first") + 1).alias("pos"), "size", "system")
+
+
+def homes(light: DataFrame, budget: int) -> DataFrame:
+    """(conv_id, id, pos, size, window, system) of each turn, window being the place of the first turn at home with it."""
+    alone = F.when((F.col("pos") == 1) & F.col("system").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("size"))  # the system turn is charged to all
+    part = light.withColumn("own", alone).groupBy("conv_id", F.expr(f"(pos - 1) div {PART}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "size", "own"))).alias("t"), F.max("system").alias("system"))
+    over = f"a.used > 0 and a.used + x.own > {budget} - coalesce(system, 0) - if(a.w = 1, 0, {budget // 4})"
+    folded = part.withColumn("w", F.expr(
+        "aggregate(t, named_struct('used', 0L, 'w', t[0].pos, 'out', cast(array() as array<bigint>)), (a, x) -> named_struct("
+        f"'used', if({over}, x.own, a.used + x.own), 'w', if({over}, x.pos, a.w), 'out', concat(a.out, array(if({over}, x.pos, a.w))))).out"
+    ))
+    return folded.select("conv_id", "system", F.explode(F.arrays_zip("t", "w")).alias("e")).select("conv_id", "e.t.id", "e.t.pos", "e.t.size", "e.t.own", F.col("e.w").alias("window"), "system")
+
+
+def repeats(home: DataFrame, budget: int, history: int) -> DataFrame:
+    """(id, window) of what the windows repeat: the system turn, and the last turns before that go into a quarter of the budget and into the window."""
+    later = home.filter("window > 1").groupBy("conv_id", "window").agg(F.sum("own").alias("used"), F.first("system").alias("system"))
+    room = F.least(F.lit(budget // 4), F.lit(budget) - F.coalesce("system", F.lit(0)) - F.col("used"))
+    later = later.select(F.col("conv_id").alias("c"), F.col("window").alias("into"), room.alias("room"), F.col("system").isNotNull().alias("opened"))
+    turn = home.select("conv_id", "pos", "id", "size")
+    need = later.withColumn("q", F.explode(F.expr(f"sequence(greatest(window_first - {history}, 1L), window_first - 1)".replace("window_first", "into"))))
+    found = need.join(turn, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("q"))).filter("not (opened and q = 1)")
+    back = F.sum("size").over(W.partitionBy("c", "into").orderBy(F.col("q").desc()).rowsBetween(W.unboundedPreceding, 0))
+    kept = found.withColumn("back", back).filter("back <= room").select("id", F.col("into").alias("window"))
+    first = turn.filter("pos = 1").join(later.filter("opened"), F.col("conv_id").eqNullSafe(F.col("c"))).select("id", F.col("into").alias("window"))
+    return kept.unionAll(first)
 
 
 def written(role: Column, text: Column, repeated: Column) -> Column:
@@ -80,21 +103,13 @@ def written(role: Column, text: Column, repeated: Column) -> Column:
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, formatted, loss): a window's text, and its loss mask as (start, length) in characters of it."""
-    rows = store(placed(turns, budget), "turns")  # read for spans, at home and again
-    spans = rows.groupBy("conv_id", "span").agg(F.min("pos").alias("first"), F.max(F.when(F.col("opens"), 1)).alias("opened"), F.count("pos").alias("n"))
-    every = W.partitionBy("conv_id")
-    following = W.partitionBy("conv_id").orderBy("span")
-    spans = spans.withColumns({"window": F.row_number().over(following) - 1, "system": F.max("opened").over(every).isNotNull()})
-    spans = store(spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "window", "system"), "spans")
-    home = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s"))).select("conv_id", "window", "pos", "role", "text", F.lit(False).alias("repeated"), "opens")
-    # repeated: the system turn, and the turns up to `history` places before a window's first
-    need = spans.filter("window > 0").select(F.col("c"), F.col("window").alias("into"), F.explode(F.sequence(F.greatest(F.col("first") - history, F.lit(1)), F.col("first") - 1)).alias("q"))
-    need = need.unionAll(spans.filter("window > 0 and system and first > %d + 1" % history).select("c", "window", F.lit(1).cast("long")))
-    again = home.join(need, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("q"))).select("conv_id", F.col("into").alias("window"), "pos", "role", "text", F.lit(True).alias("repeated"), "opens")
-    all_rows = home.unionAll(again).withColumn("out", written(F.col("role"), F.col("text"), F.col("repeated")))
+    rows, light = placed(turns)
+    home = store(homes(light, budget), "homes")
+    places = home.select("id", "window", F.lit(False).alias("repeated")).unionAll(repeats(home, budget, history).select("id", "window", F.lit(True)))
+    all_rows = rows.join(places, "id").withColumn("out", written(F.col("role"), F.col("text"), F.col("repeated")))
     target = (F.col("role") == "assistant") & ~F.col("repeated")
     part = F.struct(
-        "pos", "out", F.length("out").cast("long").alias("len"), F.coalesce(target, F.lit(False)).alias("target"),
+        "id", "out", F.length("out").cast("long").alias("len"), F.coalesce(target, F.lit(False)).alias("target"),
         F.length(F.concat(F.lit(TURN), escape(F.col("role")), F.lit(MID))).cast("long").alias("lead"), F.length(escape(F.col("text"))).cast("long").alias("body"),
     )
     made = all_rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(part)).alias("parts"))

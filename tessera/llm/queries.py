@@ -37,9 +37,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    back = chat.read_back(chat.windows(turns.unionAll(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))))
+    own = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    back = chat.read_back(chat.windows(turns.unionAll(own)))
     return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
@@ -76,22 +76,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP5_SQL = f"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), n AS (
-  SELECT *, row_number() OVER w AS pos, ceil(length(text) / 4) + 4 AS size,
+  SELECT *, row_number() OVER w AS pos, (ceil(length(text) / 4) + 4)::bigint AS size,
     length(regexp_replace(role, '[<\\[\\]\\\\]', '..', 'g')) + length(regexp_replace(text, '[<\\[\\]\\\\]', '..', 'g')) + {len(chat.TURN + chat.MID + chat.END)} AS len
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), h AS (SELECT *, pos = 1 AND role = 'system' AS opens FROM n
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, md5(text))
 ), s AS (
-  SELECT *, max(opens::int) OVER (PARTITION BY conv_id) AS system,
-    CASE WHEN opens THEN 0 ELSE (sum(CASE WHEN opens THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY pos) - 1)::bigint // {chat.BUDGET} END AS span
-  FROM h
-), f AS (SELECT conv_id, span, min(pos) AS first_pos, max(system) AS system FROM s GROUP BY ALL
+  SELECT *, max(CASE WHEN pos = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS system,
+    CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE size END AS own FROM n
+), g(conv_id, pos, used, w) AS (
+  SELECT conv_id, pos, own, pos FROM s WHERE (pos - 1) % {chat.PART} = 0
+  UNION ALL SELECT s.conv_id, s.pos,
+    CASE WHEN g.used > 0 AND g.used + s.own > {chat.BUDGET} - coalesce(s.system, 0) - CASE WHEN g.w = 1 THEN 0 ELSE {chat.BUDGET // 4} END THEN s.own ELSE g.used + s.own END,
+    CASE WHEN g.used > 0 AND g.used + s.own > {chat.BUDGET} - coalesce(s.system, 0) - CASE WHEN g.w = 1 THEN 0 ELSE {chat.BUDGET // 4} END THEN s.pos ELSE g.w END
+  FROM g JOIN s ON s.conv_id = g.conv_id AND s.pos = g.pos + 1 AND (s.pos - 1) % {chat.PART} > 0
+), l AS (
+  SELECT g.conv_id, g.w, least({chat.BUDGET // 4}, {chat.BUDGET} - coalesce(max(s.system), 0) - sum(s.own)) AS room, max(s.system) AS system
+  FROM g JOIN s ON s.conv_id = g.conv_id AND s.pos = g.pos WHERE g.w > 1 GROUP BY ALL
+), h AS (
+  SELECT l.conv_id, s.len, l.room, sum(s.size) OVER (PARTITION BY l.conv_id, l.w ORDER BY s.pos DESC) AS back
+  FROM l JOIN s ON s.conv_id = l.conv_id AND s.pos BETWEEN l.w - {chat.HISTORY} AND l.w - 1 AND NOT (s.pos = 1 AND l.system IS NOT NULL)
 ), r AS (
-  SELECT s.conv_id, sum(s.len) AS again FROM f JOIN s ON s.conv_id = f.conv_id AND s.pos < f.first_pos
-    AND (s.pos >= f.first_pos - {chat.HISTORY} OR s.pos = 1 AND f.system = 1)
+  SELECT conv_id, sum(len) AS again FROM (
+    SELECT conv_id, len FROM h WHERE back <= room
+    UNION ALL SELECT l.conv_id, s.len FROM l JOIN s ON s.conv_id = l.conv_id AND s.pos = 1 AND l.system IS NOT NULL)
   GROUP BY ALL
 )
 SELECT s.conv_id, count(*) AS n_turns,
