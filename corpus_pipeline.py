@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next stage's ``docs``.  All but the last return the columns of ``documents``.
 
 1. quality rules: documents that fail a count or the calibrated classifier go;
-2. SimHash near-dedup: of each group of linked fingerprints the document with the least id stays;
+2. SimHash near-dedup: of each group of texts whose sets of five-word shingles are 0.8 alike the document with the least id stays;
 3. PII: entities are replaced by keyed surrogates, and n_chars follows the text;
 4. mixing: every document stays, those of small sources up to twice, by temperature weights;
 5. BPE: token ids of the whole text, and whether they decode to it.
