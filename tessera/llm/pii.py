@@ -7,7 +7,7 @@ to leave none in place.  So the same entity gets the same surrogate everywhere,
 and entities of a domain never share one.  What a permutation can't promise, that no surrogate is shared across domains or is
 someone's original in the corpus, is checked over the corpus' distinct entities, and those that clash are re-keyed.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security numbers,
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and account numbers, social security numbers,
 IBANs, access keys, long hexadecimal tokens, values of password and token fields, and persons' names by title or
 known given name, then also their bare mentions in the same text.
 
@@ -20,14 +20,18 @@ searched whole; empty tables stay empty; a column named as the result is replace
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
+import unicodedata
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import isqrt, prod
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.textnum import slices
@@ -59,6 +63,7 @@ EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-
 #: Where a number of seven digits and more may stand; what it is, the patterns below tell.
 NUMBER = re.compile(r"[+(]?\d[\d ().\-/]{5,}\d")
 IP = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)")
 SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\w)"
@@ -70,7 +75,8 @@ IBAN_START = re.compile(r"\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
 HEX = re.compile(r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
 FIELD = re.compile(r"""\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"',;<>]{6,})""", re.I)
-UPPER = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
+#: Capital letters of all scripts.
+UPPER = f"[{''.join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ('Lu', 'Lt'))}]"
 WORD = rf"{UPPER}(?:\w|['’](?!s\b)(?=\w)|-(?={UPPER}))+"
 GAP = rf"[ \u00a0](?:{UPPER}\.[ \u00a0])*"
 TITLE = "|".join(sorted(GENDER_OF, key=len, reverse=True))
@@ -78,7 +84,7 @@ TITLED = re.compile(rf"\b((?:{TITLE})(?:\.?[ \u00a0](?:{TITLE})\b)*)\.?{GAP}({WO
 NAMED = re.compile(rf"\b({'|'.join(sorted(LIST_OF, key=len, reverse=True))}){GAP}({WORD})")
 BARE = re.compile(rf"\b{WORD}")
 #: Which kind stands where two overlap.
-ORDER = ["email", "key", "iban", "ip", "card", "ssn", "phone", "secret", "given", "family"]
+ORDER = ["email", "key", "iban", "ipv6", "ip", "card", "ssn", "phone", "secret", "given", "family"]
 
 
 def luhn(digits: str) -> int:
@@ -92,6 +98,17 @@ def iban_rest(country: str, account: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
 
+#: The setting that holds a session's key; its name has Spark's own pages hide it.
+KEY_SETTING = "spark.tessera.pii.secret"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in KEY_SETTING; without one, a random key for this session, so that no one can restore the data from the code."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
 @dataclass
 class Surrogates:
     """The keyed permutations; a secret of a corpus."""
@@ -197,6 +214,24 @@ class Surrogates:
             out.append(str(lo + at))
         return ".".join(reversed(out))
 
+    def _ipv6(self, v: str, _) -> str:
+        # an address is one number, however it is written: each of its eight fields keeps its number of digits, and zero stays
+        fields = [int(x, 16) for x in ipaddress.IPv6Address(v).exploded.split(":")]
+        spans = [(16 ** (len(f"{x:x}") - 1), 16 ** len(f"{x:x}")) if x else (0, 1) for x in fields]
+        x = 0
+        for f, (lo, hi) in zip(fields, spans):
+            x = x * (hi - lo) + f - lo
+        x, new = self.move(x, prod(hi - lo for lo, hi in spans), f"ipv6\0{spans}"), []
+        for lo, hi in reversed(spans):
+            x, at = divmod(x, hi - lo)
+            new.append(lo + at)
+        new.reverse()
+        head, _, tail = v.partition("::")
+        n_tail = len(tail.split(":")) if tail else 0
+        own = iter(new[: len(head.split(":")) if head else 0] + new[8 - n_tail :] if "::" in v else new)
+        out = re.sub("[0-9A-Fa-f]+", lambda m: f"{next(own):0{len(m[0])}x}", v)
+        return out.upper() if v != v.lower() else out
+
     def _card(self, v: str, _) -> str:
         d = re.sub(r"\D", "", v)
         off = (int(d[-1]) - luhn(d[:-1])) % 10  # 0 for a valid number; what it is off by stays
@@ -235,7 +270,7 @@ class Surrogates:
         """A pronounceable name: vowels for vowels; a Cyrillic ending, which tells the gender, stays.  A permutation of the names that aren't known given names."""
         stay = len(v) - 2 if len(v) > 3 and v[-1] in CLASS_OF and CLASS_OF[v[-1].lower()] in LETTER_CLASSES[2:] else len(v)
         while True:
-            head = self.spell(v[:stay].lower(), tag, lambda c: CLASS_OF.get(c, ""))
+            head = self.spell("".join(c.lower() if len(c.lower()) == 1 else c for c in v[:stay]), tag, lambda c: CLASS_OF.get(c) or neighbours(c, True))
             v = "".join(b.upper() if a.isupper() else b for a, b in zip(v, head)) + v[stay:]
             if v not in LIST_OF:
                 return v
@@ -257,6 +292,19 @@ class Rekeyed(Surrogates):
         return self.rounds[t].of(kind, value)
 
 
+@lru_cache(maxsize=1 << 14)
+def neighbours(c: str, name: bool = False) -> str:
+    """Letters and digits beside one in its script: those of its category among 32 code points; in names only such as have a
+    capital of their own, or none at all, and not those of LETTER_CLASSES."""
+    kind, first = unicodedata.category(c), ord(c) // 32 * 32
+    if kind[0] != "L" and kind != "Nd":
+        return ""
+    own = [x for x in map(chr, range(first, first + 32)) if unicodedata.category(x) == kind]
+    if name:
+        own = [x for x in own if x not in CLASS_OF and len(x.upper()) == 1 and (x.upper() == x or x.upper().lower() == x) and (x.upper() == x) == (c.upper() == c)]
+    return "".join(own) if c in own else ""
+
+
 def plain_class(c: str) -> str:
     if "0" <= c <= "9":
         return "0123456789"
@@ -264,7 +312,7 @@ def plain_class(c: str) -> str:
         return "abcdefghijklmnopqrstuvwxyz"
     if "A" <= c <= "Z":
         return "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return ""
+    return neighbours(c) if ord(c) > 127 else ""
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -282,6 +330,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in FIELD.finditer(text)]
     found += [(*m.span(), "secret") for m in HEX.finditer(text)]
+    if ":" in text:
+        found += [(*m.span(), "ipv6") for m in IPV6.finditer(text) if is_ipv6(m[0])]
     for at in NUMBER.finditer(text):
         lo, hi = max(0, at.start() - 1), at.end() + 2  # with what stands around it
         for kind, pattern in (("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
@@ -289,11 +339,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if kind != "ip" or all(int(x) < 256 for x in m.groups()):
                     found.append((*m.span(), kind))
     found += names(text)
-    secrets = sorted({(lo, hi) for lo, hi, kind in found if kind == "secret"})
+    tokens = sorted({(lo, hi) for lo, hi, kind in found if kind == "secret"})
     out: list[tuple[int, int, str]] = []
     for lo, hi, kind in sorted(set(found), key=lambda x: (ORDER.index(x[2].partition(" ")[0]), x[0], -x[1])):
         if kind in ("ip", "card", "ssn", "phone"):
-            around = secrets[max(0, bisect(secrets, (lo, len(text))) - 1) :][:1]
+            around = tokens[max(0, bisect(tokens, (lo, len(text))) - 1) :][:1]
             if any(a <= lo and hi <= b and hi - lo < b - a for a, b in around):
                 continue
         at = bisect(out, (lo,))
@@ -302,6 +352,14 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def is_ipv6(v: str) -> bool:
+    """Whether it is an address, and not two words of letters with colons between."""
+    try:
+        return ipaddress.IPv6Address(v) > ipaddress.IPv6Address("::ffff") and any(c.isdigit() for c in v)
+    except ValueError:
+        return False
+
+
 def names(text: str) -> list[tuple[int, int, str]]:
     found, known = [], {}
     for m in TITLED.finditer(text):

@@ -62,13 +62,9 @@ def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-#: The key of the surrogates; a production run gives its own.
-SURROGATE_KEY = b"tessera surrogates, default key"
-
-
-def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = SURROGATE_KEY) -> DataFrame:
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.settled(docs, key, "p").select("doc_id", "p.text", F.size("p.kinds").alias("n_entities"), F.array_sort("p.kinds").alias("kinds"), "p.surrogates")
+    return pii.settled(docs, key or pii.session_key(spark), "p").select("doc_id", "p.text", F.size("p.kinds").alias("n_entities"), F.array_sort("p.kinds").alias("kinds"), "p.surrogates")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

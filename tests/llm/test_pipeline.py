@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_quality import brute as counts_of
-from test_simhash import brute_fingerprint, brute_groups
+from test_simhash import brute_copies
 from tokenizers import Tokenizer
 
 from tessera.llm import linear, pii, quality_rules, queries
@@ -48,7 +48,7 @@ def test_quality(spark, stages):
 
 def test_dedup(stages):
     before = [tuple(r) for r in stages[1].collect()]
-    group = brute_groups([brute_fingerprint(r[1]) for r in before])
+    group = brute_copies([r[1] for r in before])
     least = {}
     for g, r in zip(group, before):
         least.setdefault(g, []).append((r[0] is None, r[0]))
@@ -58,8 +58,8 @@ def test_dedup(stages):
     assert set(kept) <= set(before)
 
 
-def test_surrogates(stages):
-    own = pii.Surrogates(queries.SURROGATE_KEY)
+def test_surrogates(spark, stages):
+    own = pii.Surrogates(pii.session_key(spark))
     want = []
     for r in stages[2].collect():
         text, _ = pii.replace(r.text, own)
