@@ -5,7 +5,7 @@ next stage's ``docs``.  All but the last return the columns of ``documents``.
 
 1. quality rules: documents that fail a count or the calibrated classifier go;
 2. SimHash near-dedup: of each group of texts whose sets of five-word shingles are 0.8 alike the document with the least id stays;
-3. PII: entities are replaced by keyed surrogates, and n_chars follows the text;
+3. PII: entities are replaced by surrogates under the session's key, and n_chars follows the text;
 4. mixing: every document stays, those of small sources up to twice, by temperature weights;
 5. BPE: token ids of the whole text, and whether they decode to it.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, pii, quality_rules, simhash
-from tessera.llm.queries import SURROGATE_KEY, read
+from tessera.llm.queries import read
 from tessera.runtime import store
 
 MAX_REPEATS = 2.0
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grown = docs.withColumn("__n", F.length("text"))
-    out = pii.pseudonymise(grown, SURROGATE_KEY)
+    out = pii.pseudonymise(grown, pii.session_key(spark))
     return out.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.length("text") - F.col("__n"), F.col("n_chars"))).drop("__n")
 
 
