@@ -1,43 +1,63 @@
 """Strata: one pass over the rules that don't recur, then semi-naive rounds until nothing is new.
 
-In a round each recursive position of a rule reads the last round's news once, other recursive positions all
-that is known.  News is written to the shared folder, so a round's plan is as long as a rule's; a set is kept as
-its rounds' tables, which are disjoint, and gathered anew now and then, so what is known isn't rewritten each
-round.  A lattice table is merged with its news each round.
+A round reads, for each recursive position of a rule, the last round's news there, at recursive positions before it all that
+is known, and after it what was known before, so that no derivation from news is made twice.  News is written to the
+shared folder, so a round's plan is as long as a rule's; what is known is kept as its rounds' tables and gathered anew
+now and then, so it isn't rewritten each round.  The rounds' tables of a set are disjoint; those of a lattice hold a row
+for a key that is new or better, and merge where they are read.
+
+What doesn't change from round to round, external relations and finished tables, is written once per run, only the
+columns that rules read; so are derived tables that several readers share.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import lower
 from tessera.plans.rules import Atom, ProgramError, Relation, Rule
 from tessera.runtime import Stored
+from tessera.terms import IGNORE
 
-#: Rounds after which a set's tables are gathered into one.
+#: Rounds after which a table's parts are gathered into one.
 GATHER = 12
 
 
 @dataclass
 class Known:
-    """What is known of a table: disjoint parts in the shared folder, the last of them the last round's news, or for a
-    lattice one part, whose column ``__new`` tells the news."""
+    """What is known of a table: parts in the shared folder, the last of them the last round's news."""
 
+    relation: Relation
+    provenance: bool
     parts: list[Stored] = field(default_factory=list)
-    size: int | None = None  # of the news, once counted
+    size: int | None = None  # of the news
+
+    def _whole(self, parts: list[Stored]) -> DataFrame | None:
+        if not parts:
+            return None
+        rows = reduce(DataFrame.unionAll, [p.df for p in parts])
+        return lower.normalised(rows, self.relation, self.provenance) if self.relation.lattices and len(parts) > 1 else rows
 
     @property
     def df(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, [p.df.drop("__new") for p in self.parts])
+        return self._whole(self.parts)
 
     @property
     def news(self) -> DataFrame:
-        last = self.parts[-1].df
-        return last.filter("__new").drop("__new") if "__new" in last.columns else last
+        return self.parts[-1].df
+
+    @property
+    def stable(self) -> DataFrame | None:
+        """What was known before the news, None if nothing; of a lattice all, as its older rows may have been bettered."""
+        if not self.size or self.relation.lattices and len(self.parts) > 1:
+            return self.df
+        return self._whole(self.parts[:-1])
 
 
 def unknown(relation: Relation, made: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,30 +67,55 @@ def unknown(relation: Relation, made: DataFrame, known: DataFrame) -> DataFrame:
     return made.join(old, on, "left_anti")
 
 
-def merged(relation: Relation, made: DataFrame, known: DataFrame, provenance: bool) -> DataFrame:
-    """A lattice table with what was made, in one aggregation; ``__new`` tells the keys that are new or better."""
+def improved(relation: Relation, made: DataFrame, known: list[DataFrame], provenance: bool) -> DataFrame:
+    """Keys of a lattice table that are new or better, merged with what was known, in one aggregation."""
     extra = [lower.HEIGHT, lower.RULE] if provenance else []
     cols = [*(F.col(f"`{n}`") for n in relation.columns), *extra]
-    both = known.select(*cols, F.lit(True).alias("__was")).unionAll(made.select(*cols, F.lit(False)))
+    both = reduce(DataFrame.unionAll, [made.select(*cols, F.lit(False).alias("__was")), *(k.select(*cols, F.lit(True)) for k in known)])
     was = lambda n: F.when(F.col("__was"), F.col(f"`{n}`"))
     aggs = [t.merge(F.col(f"`{n}`")).alias(f"{n}") for n, t in relation.lattices.items()] + [t.merge(was(n)).alias(f"__old_{i}") for i, (n, t) in enumerate(relation.lattices.items())]
     proof = [F.min(F.struct(*extra)).alias("__proof")] if provenance else []
-    out = both.groupBy(*(f"`{k}`" for k in relation.keys)).agg(*aggs, *proof, F.max("__was").alias("__there"))
+    out = both.groupBy(*(f"`{k}`" for k in relation.keys)).agg(*aggs, *proof, F.max("__was").alias("__there"), (~F.min("__was")).alias("__made"))
     better = [t.better(F.col(f"`{n}`"), F.col(f"__old_{i}")) for i, (n, t) in enumerate(relation.lattices.items())]
-    new = ~F.col("__there") | reduce(lambda a, b: a | b, better)
-    return out.filter(F.col("__there").isNotNull()).select(*(F.col(f"`{n}`") for n in relation.columns), *(F.col(f"__proof.{x}").alias(x) for x in extra), new.alias("__new"))
+    new = F.col("__made") & (~F.col("__there") | reduce(lambda a, b: a | b, better))
+    return out.filter(new).select(*(F.col(f"`{n}`") for n in relation.columns), *(F.col(f"__proof.{x}").alias(x) for x in extra))
+
+
+def reads(rule: Rule) -> list[Atom]:
+    return [e for e in rule.body if isinstance(e, Atom)]
 
 
 class Fixpoint:
-    def __init__(self, spark: SparkSession, done: dict[Relation, DataFrame], provenance: bool, max_rounds: int, on_round=None):
+    """``readers``: the rules, sinks and constraints that read tables after their stratum, to tell which tables are shared."""
+
+    def __init__(self, spark: SparkSession, done: dict[Relation, DataFrame], provenance: bool, max_rounds: int, on_round=None, readers: Iterable[Rule] = ()):
         self.spark, self.done, self.provenance, self.max_rounds, self.on_round = spark, done, provenance, max_rounds, on_round
+        self.times = Counter(a.relation for r in readers for a in reads(r))
+        self.fixed: dict[Relation, DataFrame] = {}
 
     def source(self, a: Atom) -> DataFrame:
-        df = self.done.get(a.relation) if a.relation.derived else a.relation.source
+        df = self.fixed.get(a.relation)
+        if df is None:
+            df = self.done.get(a.relation) if a.relation.derived else a.relation.source
         if df is None:
             df = self.spark.createDataFrame([], ", ".join(f"`{n}` {a.relation.type_of(n)}" for n in a.relation.columns))
         return df.withColumn(lower.HEIGHT, F.lit(0)) if self.provenance and lower.HEIGHT not in df.columns else df
 
+    def fix(self, rules: list[Rule]) -> list[Stored]:
+        """Writes what the recursive rules read besides their own tables, once; columns that no atom reads as nulls."""
+        out = []
+        outer = [a for r in rules for i, a in enumerate(r.body) if isinstance(a, Atom) and i not in r.recursive]
+        for t in dict.fromkeys(a.relation for a in outer):
+            if t.derived and (t not in self.done or self.times[t] > 1):  # empty, or written already
+                continue
+            own, whole = [a for a in outer if a.relation is t], any(a.whole is not None for a in outer if a.relation is t)
+            used = [n for i, n in enumerate(t.columns) if whole or any(a.terms[i] is not IGNORE for a in own)]
+            df = self.done[t] if t.derived else t.source
+            extra = [c for c in (lower.HEIGHT, lower.RULE) if c in df.columns and c not in t.columns]
+            out.append(Stored(self.spark, df.select(*(F.col(f"`{n}`") if n in used else F.lit(None).cast(t.type_of(n)).alias(n) for n in t.columns), *extra), t.name))
+            self.fixed[t] = out[-1].df
+        return out
+
     def derive(self, rule: Rule, frames: dict[int, DataFrame] | None = None) -> DataFrame:
         return lower.head(lower.body(self.spark, rule, lambda i, a: (frames or {}).get(i) if i in (frames or {}) else self.source(a), self.provenance))
 
@@ -80,49 +125,60 @@ class Fixpoint:
         recursive = [r for r in rules if r.recursive]
         made = {t: [self.derive(r) for r in rules if r.head.relation is t and not r.recursive] + ([self.done[t]] if t in self.done else []) for t in tables}
         if not recursive:
-            return {t: lower.normalised(reduce(DataFrame.unionAll, dfs), t, self.provenance) for t, dfs in made.items()}
+            out = {t: lower.normalised(reduce(DataFrame.unionAll, dfs), t, self.provenance) for t, dfs in made.items()}
+            return {t: Stored(self.spark, df, t.name).df if self.times[t] > 1 else df for t, df in out.items()}
         known = {}
         for t in tables:
-            base = reduce(DataFrame.unionAll, made[t]) if made[t] else self.derive(next(r for r in rules if r.head.relation is t), {i: self.empty(e.relation) for r in rules if r.head.relation is t for i, e in enumerate(r.body) if isinstance(e, Atom) and i in r.recursive}).limit(0)
-            first = Stored(self.spark, lower.normalised(base, t, self.provenance), t.name)
-            known[t] = Known([first])
+            base = reduce(DataFrame.unionAll, made[t]) if made[t] else self.empty(t, proof=True)
+            first, size = self.written(t, lower.normalised(base, t, self.provenance))
+            known[t] = Known(t, self.provenance, [first], size)
+        fixed = self.fix(recursive)
         for round_ in range(1, self.max_rounds + 1):
             fresh = {}
             for t in tables:
-                ways = [self.derive(r, self.frames(r, i, known)) for r in recursive if r.head.relation is t for i in sorted(r.recursive) if known[r.body[i].relation].size != 0]
+                ways = [self.derive(r, f) for r in recursive if r.head.relation is t for i in sorted(r.recursive) if known[r.body[i].relation].size and (f := self.frames(r, i, known)) is not None]
                 if ways:
                     every = reduce(DataFrame.unionAll, ways)
-                    if t.lattices:
-                        fresh[t] = Stored(self.spark, merged(t, every, known[t].df, self.provenance), t.name)
-                    else:
-                        fresh[t] = Stored(self.spark, unknown(t, lower.normalised(every, t, self.provenance), known[t].df), t.name)
-            sizes = {t.name: (fresh[t].df.filter("__new") if t.lattices else fresh[t].df).count() if t in fresh else 0 for t in tables}
+                    fresh[t] = improved(t, every, [p.df for p in known[t].parts], self.provenance) if t.lattices else unknown(t, lower.normalised(every, t, self.provenance), known[t].df)
+            fresh = {t: self.written(t, df) for t, df in fresh.items()}  # all of a round before any is known
+            sizes = {t.name: fresh[t][1] if t in fresh else 0 for t in tables}
             if self.on_round:
                 self.on_round(round_, sizes)
             for t in tables:
-                self.advance(t, known[t], fresh.get(t), sizes[t.name])
+                self.advance(known[t], *fresh.get(t, (None, 0)))
             if not any(sizes.values()):
+                for x in fixed:
+                    x.drop()
+                self.fixed = {}
                 return {t: k.df for t, k in known.items()}
         raise ProgramError(f"no fixpoint in {self.max_rounds} rounds of {[t.name for t in tables]}")
 
-    def empty(self, t: Relation) -> DataFrame:
-        extra = f", {lower.HEIGHT} int" if self.provenance else ""
+    def empty(self, t: Relation, proof: bool = False) -> DataFrame:
+        extra = f", {lower.HEIGHT} int" + f", {lower.RULE} int" * proof if self.provenance else ""
         return self.spark.createDataFrame([], ", ".join(f"`{n}` {t.type_of(n)}" for n in t.columns) + extra)
 
-    def frames(self, rule: Rule, at: int, known: dict[Relation, Known]) -> dict[int, DataFrame]:
-        return {i: known[rule.body[i].relation].news if i == at else known[rule.body[i].relation].df for i in rule.recursive}
-
-    def advance(self, t: Relation, k: Known, made: Stored | None, size: int) -> None:
-        old, k.size = k.parts, size
-        if t.lattices:
+    def frames(self, rule: Rule, at: int, known: dict[Relation, Known]) -> dict[int, DataFrame] | None:
+        """What the recursive positions read if the news is at one of them; None if one would read nothing."""
+        out = {}
+        for i in rule.recursive:
+            k = known[rule.body[i].relation]
+            out[i] = k.news if i == at else k.df if i < at else k.stable
+        return None if any(df is None for df in out.values()) else out
+
+    def written(self, t: Relation, df: DataFrame) -> tuple[Stored, int]:
+        """A round's table and its rows, counted as they are written."""
+        seen = Observation()
+        return Stored(self.spark, df.observe(seen, F.count(F.lit(1)).alias("n")), t.name), seen.get.get("n", 0)
+
+    def advance(self, k: Known, made: Stored | None, size: int) -> None:
+        k.size = size
+        if not size:
             if made is not None:
-                k.parts = [made]
-        elif size:
-            k.parts = [*k.parts, made]
-            if len(k.parts) > GATHER:  # the news stays a part of its own
-                k.parts = [Stored(self.spark, Known(k.parts[:-1]).df, t.name), made]
-        elif made is not None:
-            made.drop()
-        for p in old:
-            if p not in k.parts:
+                made.drop()
+            return
+        k.parts = [*k.parts, made]
+        if len(k.parts) > GATHER:  # the news stays a part of its own
+            old = k.parts[:-1]
+            k.parts = [Stored(self.spark, Known(k.relation, self.provenance, old).df, k.relation.name), made]
+            for p in old:
                 p.drop()

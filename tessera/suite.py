@@ -1,18 +1,21 @@
 """Queries over the supplied tables, one or more per operator of the engine, and the same in DuckDB SQL.
 
-Every query is a program run over whole tables.  ``G`` is a weighted graph of suppliers and parts, ``TREE`` the
-halving tree of part numbers, which the recursive queries walk.
+Every query is a program run over whole tables.  ``G`` is a weighted graph from all orders to the suppliers of their lines, on to
+these suppliers' nations, and to the nations' regions; ``TREE`` is the halving tree of part numbers.  The recursive
+queries walk them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import BOT, IGNORE, WITH_ELEMENTS, LVar, Program, bind, call, custom, enumerate_, guard, iterate, lbitset, lmax, lmin, lset, variables, xrange
-from tessera.inspect import export_json
+from tessera import BOT, IGNORE, WITH_ELEMENTS, LVar, Program, bind, call, custom, enumerate_, guard, iterate, lbitset, lmax, lmin, lookup, lset, variables, xrange
+from tessera.functions import sets
+from tessera.inspect import export_json, json_of
 from tessera.program import Relation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +49,12 @@ class Setting:
         return self.p.external(df.select(*columns) if columns else df, name or table)
 
     def graph(self) -> Relation:
-        """Edges (u, v, w): suppliers to part classes, by the cheapest first line of 49 pieces and more at a small discount."""
-        line = self.df("lineitem").filter("l_quantity >= 49 and l_linenumber = 1 and l_discount <= 0.01")
-        edges = line.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100 + 1).alias("v")).agg(F.min(F.round(F.col("l_extendedprice") * 100)).cast("long").alias("w"))
-        return self.p.external(edges, "G")
+        """Edges (u, v, w), a node's number telling its kind (order, supplier, nation, region) by its remainder by 4."""
+        node = lambda c, kind: (F.col(c).cast("long") * 4 + kind)
+        line = self.df("lineitem").groupBy(node("l_orderkey", 0).alias("u"), node("l_suppkey", 1).alias("v")).agg(F.min(F.round(F.col("l_extendedprice") * 100)).cast("long").alias("w"))
+        home = self.df("supplier").select(node("s_suppkey", 1).alias("u"), node("s_nationkey", 2).alias("v"), (F.col("s_suppkey") % 10 + 1).alias("w"))
+        part = self.df("nation").select(node("n_nationkey", 2).alias("u"), node("n_regionkey", 3).alias("v"), F.lit(5).cast("long").alias("w"))
+        return self.p.external(line.unionAll(home).unionAll(part), "G")
 
     def tree(self) -> Relation:
         parts = self.df("part").filter("p_partkey > 1").select(F.col("p_partkey").alias("c"), F.expr("p_partkey div 2").alias("p"))
@@ -63,8 +68,9 @@ class Setting:
         return self.p.table("H", **{**dict.fromkeys(columns, "long"), **types})
 
 
-G = """g AS (SELECT l_suppkey AS u, l_partkey % 100 + 1 AS v, CAST(min(round(l_extendedprice * 100)) AS BIGINT) AS w FROM lineitem
-  WHERE l_quantity >= 49 AND l_linenumber = 1 AND l_discount <= 0.01 GROUP BY ALL)"""
+G = """g AS (SELECT l_orderkey * 4 AS u, l_suppkey * 4 + 1 AS v, CAST(min(round(l_extendedprice * 100)) AS BIGINT) AS w FROM lineitem GROUP BY ALL
+  UNION ALL SELECT s_suppkey * 4 + 1, s_nationkey::BIGINT * 4 + 2, s_suppkey % 10 + 1 FROM supplier
+  UNION ALL SELECT n_nationkey::BIGINT * 4 + 2, n_regionkey::BIGINT * 4 + 3, 5 FROM nation)"""
 TREE = "t AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey > 1)"
 CLOSURE = f"WITH RECURSIVE {G}, r AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u)"
 
@@ -202,15 +208,19 @@ def theta_join(spark, sf):
     return q.sink({"one": a, "other": b}, one(a, k, x), other(b, k, y), guard(x < y))
 
 
-TRADE = """e AS (SELECT DISTINCT s_nationkey AS u, c_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_extendedprice > 100000 AND l_shipdate >= TIMESTAMP '1996-01-01')"""
+TRADE = """t AS (SELECT s_nationkey AS u, c_nationkey AS v, sum(round(l_extendedprice * 100)::BIGINT)::HUGEINT AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+e AS (SELECT u, v FROM t WHERE w * (SELECT count(*) FROM t) > (SELECT sum(w) FROM t))"""
 
 
 def trade(q: Setting) -> Relation:
-    """Pairs of nations with a dear late sale from one to the other, as a table."""
+    """Pairs of nations of which one sells to the other for more than pairs do on average, as a table."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(28,0)")
+    sold = q.df("lineitem").join(q.df("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(q.df("customer"), F.col("o_custkey") == F.col("c_custkey")).join(q.df("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = sold.groupBy(F.col("s_nationkey").alias("u"), F.col("c_nationkey").alias("v")).agg(F.sum(cents).alias("w"))
+    total = sold.agg(F.sum("w").alias("total"), F.count("w").cast("decimal(9,0)").alias("pairs"))
     h = q.p.table("E", u="int", v="int")
-    late = q.df("lineitem").filter("l_extendedprice > 100000 and l_shipdate >= timestamp_ntz'1996-01-01'").select("l_orderkey", "l_suppkey")
-    q.p.rule(h(u, v), q.p.external(late, "late")(a, b), q.ext("orders", "o_orderkey", "o_custkey")(a, c), q.ext("customer", "c_custkey", "c_nationkey")(c, v), q.ext("supplier", "s_suppkey", "s_nationkey")(b, u))
+    q.p.rule(h(u, v), q.p.external(sold, "sold")(u, v, w), q.p.external(total, "total")(x, n), guard(w * n > x))
     return h
 
 
@@ -272,14 +282,14 @@ def fold_sum(spark, sf):
     return bag.groupBy("flag").agg(F.sum("j").alias("total"), F.count("j").alias("n"))
 
 
-@query()
+@query("SELECT 'number' AS heading, list(r_regionkey::VARCHAR ORDER BY r_regionkey) AS cells FROM region UNION ALL SELECT 'label', list(r_name ORDER BY r_regionkey) FROM region")
 def export_json_table(spark, sf):
     q = Setting(spark, sf, "export_json")
-    shown = export_json(q.sink({"key": a, "name": b}, q.ext("region")(a, b)), ["number", "label"])
+    shown = export_json(q.sink({"key": a, "name": b}, q.ext("region")(a, b)).orderBy("key"), ["number", "label"])
     return spark.createDataFrame([(h, [str(r[i]) for r in shown["data"]]) for i, h in enumerate(shown["columns"])], "heading string, cells array<string>")
 
 
-@query()
+@query("SELECT r_regionkey AS key FROM region WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
 def constraint_rule(spark, sf):
     q = Setting(spark, sf, "constraint")
     q.p.constraint("an order without a customer", q.ext("orders", "o_custkey")(k), ~q.ext("customer", "c_custkey")(k))
@@ -426,19 +436,20 @@ def tc_mutual(spark, sf):
     return q.p.run(even)
 
 
-@query(CLOSURE + ", nodes AS (SELECT u AS x FROM g UNION SELECT v FROM g) SELECT p.x AS u, q.x AS v FROM nodes p, nodes q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = p.x AND r.v = q.x)")
+@query(CLOSURE + ", o AS (SELECT DISTINCT u FROM g WHERE u % 4 = 0), e AS (SELECT DISTINCT v FROM g WHERE v % 4 = 3) SELECT o.u, e.v FROM o, e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = o.u AND r.v = e.v)")
 def stratified_negation(spark, sf):
+    """Orders and the regions, of which there are five, that none of their lines comes from."""
     q = Setting(spark, sf, "stratified_negation")
-    g, r, node, h = q.graph(), q.p.table("R", "u long, v long"), q.p.table("N", "x long"), q.result("u", "v")
-    q.p.rule(h(u, v), node(u), node(v), ~r(u, v))
+    g, r, order, region, h = q.graph(), q.p.table("R", "u long, v long"), q.p.table("O", "u long"), q.p.table("E", "v long"), q.result("u", "v")
+    q.p.rule(h(u, v), order(u), region(v), ~r(u, v))
     q.p.rule(r(u, w), r(u, v), g(v, w, IGNORE))
     q.p.rule(r(u, v), g(u, v, IGNORE))
-    q.p.rule(node(u), g(u, IGNORE, IGNORE))
-    q.p.rule(node(v), g(IGNORE, v, IGNORE))
+    q.p.rule(order(u), g(u, IGNORE, IGNORE), guard(u % 4 == 0))
+    q.p.rule(region(v), g(IGNORE, v, IGNORE), guard(v % 4 == 3))
     return q.p.run(h)
 
 
-APSP = f"WITH RECURSIVE {G}, r(u, v, d) USING KEY (u, v) AS (SELECT u, v, w FROM g UNION SELECT x.u, g.v, min(x.d + g.w) FROM r x JOIN g ON x.v = g.u LEFT JOIN recurring.r o ON o.u = x.u AND o.v = g.v WHERE o.d IS NULL OR x.d + g.w < o.d GROUP BY x.u, g.v) SELECT u, v, d FROM r"
+APSP = f"WITH RECURSIVE {G}, r(u, v, d) AS (SELECT u, v, w FROM g UNION ALL SELECT x.u, g.v, x.d + g.w FROM r x JOIN g ON x.v = g.u) SELECT u, v, min(d) AS d FROM r GROUP BY ALL"
 
 
 @query(APSP)
@@ -472,6 +483,96 @@ def provenance_heights(spark, sf):
     return q.p.run(r)
 
 
+# further sources, sinks and terms
+
+
+@query("SELECT range AS x, range * range AS square FROM range(1000)")
+def generator_rule(spark, sf):
+    """A rule without an atom, from ``xrange(stop)``."""
+    q = Setting(spark, sf, "generator_rule")
+    return q.sink({"x": x, "square": x * x}, iterate(x, xrange(1000)))
+
+
+@query("SELECT p_partkey AS key, unnest(range(p_size::BIGINT)) AS below FROM part")
+def iterate_stop(spark, sf):
+    q = Setting(spark, sf, "iterate_stop")
+    return q.sink({"key": k, "below": x}, q.ext("part", "p_partkey", "p_size")(k, n), iterate(x, xrange(n)))
+
+
+@query("SELECT c_nationkey AS nation, c_custkey AS key FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 20")
+def ordered_sink(spark, sf):
+    """The first rows of a sink in an order of the caller's."""
+    q = Setting(spark, sf, "ordered_sink")
+    q.p.emit("out", {"nation": n, "key": k}, q.ext("customer", "c_custkey", "c_nationkey")(k, n))
+    return q.p.run("out", ordered=[F.col("nation").desc(), "key"]).limit(20)
+
+
+@query("SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer GROUP BY ALL ORDER BY length(c_mktsegment), c_mktsegment, c_nationkey LIMIT 30")
+def ordered_table(spark, sf):
+    """The first rows of a table by a comparison key: the segment's length first."""
+    q = Setting(spark, sf, "ordered_table")
+    h = q.p.table("H", nation="int", segment="string")
+    q.p.rule(h(k, s), q.ext("customer", "c_nationkey", "c_mktsegment")(k, s))
+    return q.p.run(h, ordered=[F.length("segment"), "segment", "nation"]).limit(30)
+
+
+@query("SELECT l_orderkey AS key, l_linenumber AS line FROM lineitem WHERE l_quantity > 25 + 20")
+def captured_value(spark, sf):
+    """A scalar function that holds a value of the caller's."""
+    bound = 20
+    q = Setting(spark, sf, "captured_value")
+    more = call(lambda c: c > 25 + bound, x)
+    return q.sink({"key": k, "line": n}, q.ext("lineitem", "l_orderkey", "l_linenumber", "l_quantity")(k, n, x), guard(more))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_nationkey = 7")
+def constant_by_reference(spark, sf):
+    """A constant given as an expression of the caller's, in a place of an atom."""
+    q = Setting(spark, sf, "constant_by_reference")
+    return q.sink({"key": k}, q.ext("customer", "c_custkey", "c_nationkey")(k, F.lit(3) + F.lit(4)))
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
+def indexed_lookup(spark, sf):
+    q = Setting(spark, sf, "indexed_lookup")
+    part = q.df("part").select("p_partkey", "p_name", "p_brand")
+    return lookup(part, "p_brand", part.agg(F.min("p_brand")).first()[0])
+
+
+@query("""WITH s AS (SELECT o_custkey AS key, list_sort(list(DISTINCT o_orderstatus)) AS a FROM orders GROUP BY ALL)
+SELECT key, list_sort(list_distinct(list_append(a, 'X'))) AS with_x, list_filter(a, lambda e: e <> 'F') AS without_f, len(list_filter(a, lambda e: e > 'F'))::INTEGER AS above,
+  CASE WHEN len(a) = 1 THEN a[1] END AS only, list_contains(a, 'P') AS has_p, len(list_filter(a, lambda e: e NOT IN ('F', 'O'))) = 0 AS plain FROM s""")
+def flat_sets(spark, sf):
+    """Operations on sets, of the statuses of a customer's orders."""
+    q = Setting(spark, sf, "flat_sets")
+    h = q.p.table("H", key="long", a=lset("string"))
+    q.p.rule(h(k, x), q.ext("orders", "o_custkey", "o_orderstatus")(k, x))
+    st = F.col("a")
+    return q.p.run(h).select(
+        "key", sets.insert(st, F.lit("X")).alias("with_x"), sets.erase(st, F.lit("F")).alias("without_f"), sets.count_if(st, lambda e: e > "F").alias("above"),
+        sets.singleton(st).alias("only"), sets.contains(st, "P").alias("has_p"), sets.is_subset(st, F.array(F.lit("F"), F.lit("O"))).alias("plain"),
+    )
+
+
+@query(f"WITH RECURSIVE {TREE}, r AS (SELECT c, p FROM t UNION SELECT r.c, t.p FROM r JOIN t ON r.p = t.c) SELECT 1::BIGINT AS rule, r.p AS v FROM r JOIN t ON r.p = t.c WHERE r.c = 77 AND t.p = 4")
+def proof_step(spark, sf):
+    """The bindings that derive one row of a closure."""
+    q = Setting(spark, sf, "proof_step")
+    t, r = q.tree(), q.p.table("R", "c long, p long")
+    q.p.rule(r(u, v), t(u, v))
+    q.p.rule(r(u, w), r(u, v), t(v, w))
+    q.p.run(r)
+    return spark.createDataFrame([(i, x["v"]) for i, found in q.p.proofs(r, (77, 4)) for x in found], "rule long, v long")
+
+
+@query("SELECT n_regionkey AS key, '[' || string_agg('[' || n_nationkey || ', \"' || n_name || '\"]', ', ' ORDER BY n_nationkey) || ']' AS shown FROM nation GROUP BY ALL")
+def rows_as_json(spark, sf):
+    q = Setting(spark, sf, "rows_as_json")
+    h = q.p.table("H", key="int", d=lset("struct<k:int,n:string>"))
+    q.p.rule(h(k, call(lambda i, t: F.struct(i.alias("k"), t.alias("n")), a, b)), q.ext("nation", "n_regionkey", "n_nationkey", "n_name")(k, a, b))
+    return spark.createDataFrame([(r.key, json.dumps(json_of(r.d))) for r in q.p.run(h).collect()], "key int, shown string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their nation and region, which has rows at any size."""
     return join_multiway(spark, sf_dir)

@@ -103,7 +103,3 @@ def call(f: Callable[..., Column], *args: Any, text: str | None = None) -> Expr:
     uses = tuple(dict.fromkeys(u for a in own for u in a.uses))
     return Expr(lambda env: f(*(a.build(env) for a in own)), uses, text or f"{getattr(f, '__name__', 'f')}({', '.join(a.text for a in own)})")
 
-
-def lattice_add(a: Any, b: Any) -> Expr:
-    """Sum in a lattice of numbers; a bottom stays one, as NULL does in a sum."""
-    return value(a) + value(b)

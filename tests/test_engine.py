@@ -1,19 +1,22 @@
 """The fixtures' programs with their expected rows, errors, provenance, inspection, streams."""
 
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import (
     BOT, CONFIGURE, END, FIXPOINT, IGNORE, WITH_ELEMENTS, ArityError, LVar, Program, ProgramError, StratificationError, UnboundVariableError,
-    bind, call, custom, enumerate_, from_rows, guard, iterate, lbitset, lmax, lmin, lookup, lset, variables, xrange,
+    bind, call, custom, enumerate_, from_rows, guard, iterate, lbitset, lmax, lmin, lookup, lset, of_code, variables, xrange,
 )
 from tessera.functions import sets
 from tessera.inspect import Inspector, export_json
 from tessera.streaming import stream
 
 a, b, c, i, j, k, n, u, v, w, x, y = variables("a b c i j k n u v w x y")
+# The fixtures' inputs and their expected rows.
 EDGES = [(1, 2), (2, 3), (3, 3), (3, 4)]
 CLOSED = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 3), (3, 4)]
 WEIGHTED = [(1, 2, 1.0), (1, 2, 4.0), (2, 3, 2.0), (3, 3, 0.0), (3, 4, 4.0), (4, 5, 2.0), (5, 6, 2.0), (4, 6, 1.0)]
@@ -236,9 +239,18 @@ def test_errors(spark):
         p.rule(r(u, x), e(u, v))
     with pytest.raises(UnboundVariableError):
         p.rule(r(u, v), ~e(u, v))
-    with pytest.raises(ArityError):
-        e(u)
-        r(u, v, w)
+    assert e(u).whole is u and len(e(u).terms) == 2  # one variable is the whole row
+    for wrong in (lambda: r(u, v, w), lambda: e(u, 1, 2), lambda: e(1)):
+        with pytest.raises(ArityError):
+            wrong()
+    with pytest.raises(ProgramError, match="same name"):
+        p.external(from_rows(spark, [(1, 2)], "u int, U int"), "twice")
+    with pytest.raises(ProgramError, match="policy"):
+        Program(spark, "errors2", policy="naive")
+    other = Program(spark, "errors3")
+    for foreign in (lambda: other.rule(other.table("T", "u int")(u), e(u, IGNORE)), lambda: other.emit("out", {"u": u}, e(u, IGNORE)), lambda: other.constraint("no", e(u, u))):
+        with pytest.raises(ProgramError, match="another program"):
+            foreign()
     with pytest.raises(ProgramError):
         p.rule(r(u, IGNORE), e(u, v))
     with pytest.raises(ProgramError):
@@ -270,6 +282,108 @@ def test_constraints_and_round_limit(spark):
         p.run()
 
 
+def accumulated(spark, df, seen):
+    """``df`` with each reading of a row counted."""
+
+    def of(batches):
+        for x in batches:
+            seen.add(len(x))
+            yield x
+
+    return df.mapInPandas(of, df.schema)
+
+
+def test_recursion_reads_its_sources_once(spark):
+    chain, seen = [(i, i + 1) for i in range(12)], spark.sparkContext.accumulator(0)
+    p = Program(spark, "once")
+    e, r, h = p.external(accumulated(spark, from_rows(spark, chain, "u int, v int"), seen), "E"), p.table("R", "u int, v int"), p.table("H", "u int, v int")
+    start = p.external(from_rows(spark, chain, "u int, v int"), "start")
+    p.rule(r(u, v), start(u, v))
+    p.rule(r(u, w), r(u, v), e(v, w))
+    p.rule(h(u, v), r(u, v))
+    assert p.run(h).count() == 78 and seen.value == 12
+
+
+def test_shared_tables_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    p = Program(spark, "shared")
+    e, t = p.external(accumulated(spark, from_rows(spark, [(1, 2), (2, 3), (3, 1)], "u int, v int"), seen), "E"), p.table("T", "u int, v int")
+    p.rule(t(u, v), e(u, v))
+    p.emit("three", {"a": a, "b": b, "c": c}, t(a, b), t(b, c), t(c, a))
+    assert rows(p.run("three")) == [(1, 2, 3), (2, 3, 1), (3, 1, 2)] and seen.value == 3
+
+
+def test_no_derivation_is_made_twice(spark):
+    """Semi-naive rounds of a doubled closure: every pair of facts meets once."""
+    p, made = Program(spark, "semi"), spark.sparkContext.accumulator(0)
+    n_nodes = 9
+    e, r = p.external(from_rows(spark, [(i, i + 1) for i in range(n_nodes)], "u int, v int"), "E"), p.table("R", "u int, v int")
+
+    @F.pandas_udf("int")
+    def told(x: pd.Series) -> pd.Series:
+        made.add(len(x))
+        return x
+
+    p.rule(r(u, v), e(u, v))
+    p.rule(r(u, y), r(u, v), r(v, w), bind(y, call(told, w)))
+    p.run(r)
+    pairs = n_nodes + 1
+    assert made.value == pairs * (pairs - 1) * (pairs - 2) // 6  # u < v < w
+
+
+def test_manual_strata_read_nothing_unfinished(spark):
+    p = Program(spark, "later")
+    e, r = graph(p)
+    q = p.table("Q", "u int")
+    p.rule(q(u), e(u, IGNORE), ~r(u, u))
+    p.rule(r(u, v), e(u, v))
+    p.strata([1, 1])
+    with pytest.raises(StratificationError, match="later stratum"):
+        p.run()
+    p.strata([1])
+    with pytest.raises(StratificationError, match="add up"):
+        p.run()
+
+
+def test_order_of_rows(spark):
+    p = Program(spark, "order")
+    e, r = graph(p, [(1, 2), (3, 3), (2, 30)])
+    p.rule(r(u, v), e(u, v))
+    p.emit("out", {"v": v, "u": u}, e(u, v))
+    assert [tuple(x) for x in p.run("out", ordered=True).collect()] == [(2, 1), (3, 3), (30, 2)]
+    assert [tuple(x) for x in p.run("out", ordered=[F.length(F.col("v").cast("string")).desc(), "u"]).collect()] == [(30, 2), (2, 1), (3, 3)]
+    assert [tuple(x) for x in p.run(r, ordered=[F.col("u").desc()]).collect()] == [(3, 3), (2, 30), (1, 2)]
+
+
+def test_lattice_of_any_code(spark):
+    """Greatest common divisors along paths: no function of columns has them."""
+    gcd = of_code("gcd", "bigint", math.gcd)
+    p = Program(spark, "code")
+    edges = [(1, 2, 12), (1, 2, 18), (2, 3, 8), (3, 1, 20), (2, 4, 9)]
+    e, t = p.external(from_rows(spark, edges, "u int, v int, w long"), "E"), p.table("T", u="int", d=gcd)
+    z = LVar("z", gcd)
+    p.rule(t(1, 60), e(1, IGNORE, IGNORE))
+    p.rule(t(v, call(lambda x, y: F.pandas_udf(lambda i, j: pd.Series([math.gcd(a, b) for a, b in zip(i, j)]), "long")(x, y), z, w)), t(u, z), e(u, v, w))
+    want, changed = {1: 60}, True
+    while changed:
+        changed = False
+        for s, d, m in edges:
+            if s in want and (g := math.gcd(want.get(d, 0), math.gcd(want[s], m))) != want.get(d):
+                want[d], changed = g, True
+    assert dict(rows(p.run(t))) == want
+
+
+def test_many_rounds_of_a_lattice_are_gathered(spark):
+    """A chain with a shortcut found late, over more rounds than parts are kept."""
+    edges = [(i, i + 1, 1) for i in range(16)] + [(0, 9, 100), (3, 16, 1)]
+    p = Program(spark, "gathered", provenance=True)
+    e, s = p.external(from_rows(spark, edges, "u int, v int, w int"), "E"), p.table("S", v="int", d=lmin("int"))
+    d = LVar("d", lmin("int"))
+    p.rule(s(0, 0), e(IGNORE, IGNORE, IGNORE))
+    p.rule(s(v, d + w), s(u, d), e(u, v, w))
+    assert [tuple(x)[:2] for x in p.run(s, ordered=True).collect()] == [(i, min(i, 4 if i == 16 else i)) for i in range(17)]
+
+
 def test_empty_tables(spark):
     p = Program(spark, "empty")
     e, r = graph(p, [])
@@ -296,7 +410,12 @@ def test_inspection(spark):
     p.run(s)
     assert seen[0] == CONFIGURE and seen[-1] == END and seen.count(FIXPOINT) >= 3
     look = Inspector()
-    assert {"name": "apsp", "rules": 3, "runs": 1} in look.programs()
+    (own,) = [x for x in look.programs() if x["name"] == "apsp"]
+    assert own["rules"] == 3 and own["runs"] == 1 and "test_engine.py" in own["defined"] and "shortest" in own["defined"]
+    before = len(seen)
+    assert look.rules("apsp") == p.explain() and len(seen) == before and {"resume", "show", "rules", "table"} <= look.help().keys()
+    assert "S: 16 rows" in p.dump() and "(1, 2, 1.0)" in p.dump() and "stratum 0 (recursive)" in p.dump()
+    assert len(look.table("apsp", "S", limit=3)["data"]) == 3 and look.resume("apsp") == 1 and not p.hooks
     assert look.show("apsp")[1] == {"name": "S", "columns": ["u", "v", "d"], "external": False}
     dump = look.table("apsp", "S")
     assert dump["columns"] == ["u", "v", "d"] and dump["data"][0] == [1, 2, "lmin(1.0)"] and len(dump["data"]) == 16
