@@ -507,7 +507,7 @@ def ordered_sink(spark, sf):
     return q.p.run("out", ordered=[F.col("nation").desc(), "key"]).limit(20)
 
 
-@query("SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer GROUP BY ALL ORDER BY length(c_mktsegment), c_mktsegment, c_nationkey LIMIT 30")
+@query("SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer GROUP BY c_nationkey, c_mktsegment ORDER BY length(c_mktsegment), c_mktsegment, c_nationkey LIMIT 30")
 def ordered_table(spark, sf):
     """The first rows of a table by a comparison key: the segment's length first."""
     q = Setting(spark, sf, "ordered_table")
