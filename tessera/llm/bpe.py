@@ -27,15 +27,15 @@ from tessera.llm.textnum import slices
 
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers, beyond which it starts anew, and characters of a piece that is worth it.
+REMEMBERED, SHORT = 300_000, 48
 #: Characters cut into pieces at once.
 CUT = 1 << 20
 NONE = np.int64(1 << 40)
 
 
 def byte_symbols() -> dict[str, int]:
-    """The character that stands for each byte in a vocabulary file: printable bytes for themselves, others from U+0100 on."""
+    """Fixed value: the character that stands for each byte in a vocabulary file: printable bytes for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -131,6 +131,9 @@ class Vocabulary:
             self.seen.update(zip(new, (x.tobytes() for x in self.merge([x.encode() for x in new]))))
             got = self.seen.__getitem__
             out += [b"".join(map(got, own)) for own in pieces]
+            for x in new:  # so what is remembered is bounded in bytes too
+                if len(x) > SHORT:
+                    del self.seen[x]
             i += len(pieces)
         return out
 
@@ -178,8 +181,10 @@ def coder(docs: DataFrame, vocabulary: Vocabulary):
     @F.pandas_udf("ids binary, decoded string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in (x for b in batches for x in slices(b)):
-            ids = shared.value.encode(s.tolist())
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(shared.value.decode(ids), dtype=object)})
+            texts = dict.fromkeys(s.tolist())  # rows alike, as laps of a text are, are coded once
+            ids = shared.value.encode(list(texts))
+            known = dict(zip(texts, zip(ids, shared.value.decode(ids))))
+            yield pd.DataFrame({"ids": pd.Series([known[t][0] for t in s], dtype=object), "decoded": pd.Series([known[t][1] for t in s], dtype=object)})
 
     return of
 

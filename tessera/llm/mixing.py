@@ -15,7 +15,7 @@ totals or one block.  The table of thresholds has one short row per source.
 Cases: a document counts at least one token, so empty and null texts count one; a null source is a source; the
 place of a row comes from its id, or from its text where the id is null, so rows alike go together; a source
 with one document has one block; a single source has weight one; an empty table gives an empty one; extra columns
-stay, but for ``epoch``, which is replaced.
+stay, but for ``epoch`` and ``place``, which are replaced.
 """
 
 from __future__ import annotations
@@ -69,16 +69,20 @@ def weights(sources: DataFrame, max_repeats: float | None = None, entropy: float
 
 
 def mix(docs: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: int | None = None, by: str = "source", plan: DataFrame | None = None) -> DataFrame:
-    """``docs`` with a row per lap that a document is in, numbered from 1 in ``epoch``."""
+    """``docs`` with a row per lap that a document is in, numbered from 1 in ``epoch``; a lap's order is that of ``place``."""
     if plan is None:
         plan = thresholds(docs, max_repeats, entropy, budget, by)
     known = plan.select(F.col(by).alias("__by"), *(F.col(c).alias(f"__{c}") for c in ("laps", "blocks", "edge_place", "edge_block", "edge_own")))
-    rows = docs.drop("epoch").withColumn("__key", key()).join(known, F.col(by).eqNullSafe(F.col("__by")))
+    rows = docs.drop("epoch", "place").withColumn("__key", key()).join(known, F.col(by).eqNullSafe(F.col("__by")))
     block, own = position("__key", "__blocks", "__laps")
     rows = rows.withColumns({"__block": block, "__own": own}).withColumn("__place", place("__laps", "__block"))
     last = (F.col("__place") < F.col("__edge_place")) | (F.col("__place") == F.col("__edge_place")) & ((F.col("__block") < F.col("__edge_block")) | (F.col("__block") == F.col("__edge_block")) & (F.col("__own") <= F.col("__edge_own")))
     copies = F.col("__laps") + F.when(last, 1).otherwise(0)
-    return rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(*[c for c in docs.columns if c != "epoch"], "epoch")
+    rows = rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))))
+    # each lap permutes the blocks, and the documents of each
+    _, again = position("__key", "__blocks", "__lap")
+    rows = rows.withColumn("__lap", F.col("epoch") - 1).withColumn("place", F.concat(place("__lap", "__block"), again))
+    return rows.select(*[c for c in docs.columns if c not in ("epoch", "place")], "epoch", "place")
 
 
 def position(key: str, blocks: str, laps: str) -> tuple[Column, Column]:

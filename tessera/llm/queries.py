@@ -44,7 +44,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=4.0).select("doc_id", "source", "epoch")
+    return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=4.0).select("doc_id", "source", "epoch", "place")
 
 
 def op7_embedding_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +122,8 @@ WITH d AS (
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 ), y AS (SELECT *, md5('{mixing.SEED}|' || laps || '|' || block) AS place FROM x
 ), z AS (SELECT *, sum(tk) OVER (PARTITION BY source ORDER BY place, block, own) - tk AS upto FROM y
-), e AS (SELECT doc_id, source, laps + CASE WHEN upto < rest THEN 1 ELSE 0 END AS copies FROM z)
-SELECT doc_id, source, unnest(range(1, copies + 1))::bigint AS epoch FROM e
+), e AS (SELECT doc_id, source, key, block, unnest(range(1, laps + CASE WHEN upto < rest THEN 1 ELSE 0 END + 1))::bigint AS epoch FROM z)
+SELECT doc_id, source, epoch, md5('{mixing.SEED}|' || (epoch - 1) || '|' || block) || md5(key || '|' || (epoch - 1)) AS place FROM e
 """
 
 OP8_SQL = """

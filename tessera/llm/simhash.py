@@ -29,7 +29,7 @@ from tessera.llm import textnum, vptree
 from tessera.llm.components import components
 from tessera.llm.textnum import slices
 from tessera.llm.vptree import join_labels
-from tessera.runtime import store
+from tessera.runtime import Stored, store
 
 SEED, DISTANCE, SHARD, MAX_DEPTH = 42, 3, 8192, 16
 #: Shards beyond this many times their meant size are cut into blocks.
@@ -274,7 +274,9 @@ def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tup
     found = found.select("cid", "root", "bytes", "text")
     if not rows.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty():  # rows that are repeated whole
         found = found.dropDuplicates(["cid"])
-    pairs = components(verified(store(found, "found"), width, similar)).withColumnRenamed("root", "tied")
+    texts = Stored(docs.sparkSession, found, "found")
+    pairs = components(verified(texts.df, width, similar)).withColumnRenamed("root", "tied")
+    texts.drop()
     out = classes.join(pairs, F.col("cid") == F.col("node"), "left").select("h", "g", "own", "cid", F.coalesce("tied", "cid").alias("root"))
     return rows, store(out, "copies")
 

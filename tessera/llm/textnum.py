@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits (the finaliser of SplitMix64)."""
+    """Spread the bits (fixed values: the finaliser of SplitMix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))

@@ -134,7 +134,8 @@ def linked_in(b: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"), F.col(label).cast("long").alias("label"))
+    wide = vectors.schema[embedding].dataType.simpleString() == "array<double>"  # floats are exact in either
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>" if wide else "array<float>").alias("v"), F.col(label).cast("long").alias("label"))
     fine = F.col("label").isNotNull() & F.coalesce(
         F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False)
     )
@@ -153,18 +154,21 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def linked(classes: DataFrame) -> DataFrame:
-    """``classes(cid, label, v, m)`` -> (cid, n, root): links found in each task, and a forest of them."""
-    spark, n = classes.sparkSession, classes.count()
+def linked(classes: DataFrame, axes: int | None = None) -> DataFrame:
+    """``classes(cid, label, v, m)`` -> (cid, n, root): links found in each task, and a forest of them.
+
+    ``axes`` make a bucket; by default as many as leave about BUCKET classes in one.
+    """
+    n, own_axes = classes.count(), axes
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for size, g in b.groupby(b["v"].map(len)):
-                axes = max(1, round(np.log(max(1, n) / BUCKET) / np.log(4 * max(1, size))))
+                axes = own_axes or max(1, round(np.log(max(1, n) / BUCKET) / np.log(4 * max(1, size))))
                 sig = signatures(directions(g["v"]), axes)
                 yield g.assign(sig=[z.tobytes() for z in sig], buckets=list(sig.reshape(len(g), -1)), width=sig.shape[2])
 
-    signed = store(classes.mapInPandas(sign, "cid long, label long, v array<float>, m long, sig binary, buckets array<long>, width int"), "signed")
+    signed = store(classes.mapInPandas(sign, f"cid long, label long, v {classes.schema['v'].dataType.simpleString()}, m long, sig binary, buckets array<long>, width int"), "signed")
     place = F.posexplode("buckets").alias("at", "bucket")
     where = [F.expr("at div width").cast("int").alias("t"), "bucket", (F.expr("at % width") == 0).alias("home")]
     light = signed.select("cid", "label", "width", place).select("cid", "label", *where)

@@ -24,7 +24,7 @@ def test_repetition_limit(spark):
     df, rows = docs(spark)
     t = shares(rows)
     got = mixing.mix(df, max_repeats=3.0)
-    assert got.columns == ["doc_id", "text", "lang", "source", "epoch"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "epoch", "place"]
     out = got.collect()
     copies = Counter(r.doc_id for r in out)
     assert set(copies) == {r[0] for r in rows} and max(copies.values()) == 3
@@ -56,6 +56,24 @@ def test_blocks_hold_the_same_documents(spark, monkeypatch):
         assert r.part <= made[s] < r.part + 226
 
 
+def test_laps_are_permuted_by_blocks(spark, monkeypatch):
+    df, _ = docs(spark)
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    laps = {}
+    for r in mixing.mix(df, max_repeats=6.5).filter("source = 'small'").collect():
+        laps.setdefault(r.epoch, []).append((r.place, r.doc_id))
+    orders = [[i for _, i in sorted(x)] for _, x in sorted(laps.items())]
+    assert len(orders) > 2 and set(orders[0]) == set(orders[1]) > set(orders[-1]) and len(set(map(tuple, orders))) == len(orders)
+    for x in laps.values():  # the documents of a block lie together, and the same ones in every lap
+        blocks = {}
+        for at, i in sorted(x):
+            blocks.setdefault(at[:32], []).append(i)
+        assert len(blocks) > 5
+        of = {i: b for b, own in blocks.items() for i in own}
+        first = {i: at[:32] for at, i in laps[1]}
+        assert all((first[i] == first[j]) == (of[i] == of[j]) for i in of for j in list(of)[:20])
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, None), (None, "", "a", "s"), (None, "abc", "a", "s"), (None, "abc", "a", "s"), (1, "w" * 100_000, "a", "t"), (1, "w", "a", "t")], "doc_id long, text string, lang string, source string")
     out = mixing.mix(df, max_repeats=2.0)

@@ -89,3 +89,31 @@ def test_recall_on_planted_neighbours(spark):
     got, want = run(spark, rows), brute(rows)
     found, there = sum(r[1] for r in got), sum(r[1] for r in want)
     assert there > 2000 and 0.99 * there <= found <= there and all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("axes", [2, 3])
+def test_recall_with_several_axes(spark, axes):
+    """As in tables of more than 10 ** 5 and 10 ** 8 vectors."""
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(500, 64))
+    near = np.concatenate([base, base + 0.195 * rng.normal(size=base.shape)])  # cosines of about 0.981
+    pairs = {i for i in range(500) if near[i] @ near[500 + i] / np.linalg.norm(near[i]) / np.linalg.norm(near[500 + i]) >= 0.98}
+    df = spark.createDataFrame([(i, 1, v.tolist(), 1) for i, v in enumerate(near)], "cid long, label long, v array<double>, m long")
+    found = {r.cid for r in vectors.linked(df, axes).collect()}
+    assert len(pairs) > 200 and len({i for i in pairs if i in found}) >= 0.97 * len(pairs)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair that is above the limit in doubles and would be below it as floats, or the other way round, counts by its doubles."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=8)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=8)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = 0.98 + (1 if i % 2 else -1) * 2e-9
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), i)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r.n_links == (r.vec_id // 2) % 2 for r in got)
