@@ -42,7 +42,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("epoch")
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("epoch", "place")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
