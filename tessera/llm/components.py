@@ -3,7 +3,7 @@
 Each round contracts the edges twice: every node hands its larger neighbours to its least neighbour (large
 star), then every node hands its smaller neighbours to the least of them (small star).  Rounds grow with the
 logarithm of the longest path.  The least neighbour is a partially aggregated ``min`` joined back on the node,
-so a hub's edges are never gathered in a task: the join is one that adaptive execution splits.
+so a hub's edges are never gathered in a task: the join has a partitioning of its own, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from tessera.runtime import Stored
 def _star(pairs: DataFrame) -> DataFrame:
     """For (u, v): add m, the least of u and its neighbours."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    # by another key, so that the join doesn't share the aggregation's partitions, which can't be split
+    h = F.xxhash64("u").alias("h")
+    return pairs.select("u", "v", h).join(least.select("u", "m", h), ["u", "h"]).drop("h")
 
 
 def large_star(edges: DataFrame) -> DataFrame:

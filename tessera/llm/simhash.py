@@ -29,15 +29,15 @@ from tessera.llm import textnum, vptree
 from tessera.llm.components import components
 from tessera.llm.textnum import slices
 from tessera.llm.vptree import join_labels
-from tessera.runtime import Stored, store
+from tessera.runtime import store
 
 SEED, DISTANCE, SHARD, MAX_DEPTH = 42, 3, 8192, 16
 #: Shards beyond this many times their meant size are cut into blocks.
 HOT = 4
 #: Near copies: words of a shingle, least similarity of the sets; 64-bit words of a fingerprint, candidates' distance over all
-#: its bits.  Of two texts of similarity 0.8 a bit differs with a chance of 0.15, so 39 of 256 do, within 64 but for one pair in
-#: 10 ** 5; and of 16 times 16 bits one differs in one bit at most for 99.4 pairs in 100 (at 0.85: 99.9).
-WIDTH, SIMILAR, WORDS, NEAR = 5, 0.8, 4, 64
+#: its bits.  Of two texts of similarity 0.8 a bit differs with a chance of 0.15, so 39 of 256 do, within 58 but for 3 pairs in
+#: 10 ** 4; and of 16 times 16 bits one differs in one bit at most for 99.4 pairs in 100 (at 0.85: 99.9).
+WIDTH, SIMILAR, WORDS, NEAR = 5, 0.8, 4, 58
 WIDE_SHARD, WIDE_LEAF = 1 << 17, 48
 #: Texts, and bytes, of candidates that are compared in one task; members of a larger group that all others are compared with first.
 BLOCK, BLOCK_BYTES, LEADERS = 512, 16 << 20, 4
@@ -202,29 +202,45 @@ def alike(texts: list[str | None], width: int = WIDTH, similar: float = SIMILAR,
     return label
 
 
-def compared(rows: DataFrame, width: int, similar: float) -> DataFrame:
-    """``rows(task, cid, side, text)`` -> edges (u, v): a spanning forest per task of the links; of side 0 with side 1 only, if both are there."""
+class Compared:
+    """Compares texts of classes: ``tasks(cell, task, cid, side)`` -> edges (u, v), a spanning forest per task of its links; of side 0
+    with side 1 only, if both are there.
 
-    def of(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in b.drop_duplicates(["task", "cid"]).sort_values(["task", "cid"]).groupby("task", sort=False):
-            side, cid = g["side"].to_numpy(int), g["cid"].to_numpy(np.int64)
-            label = alike(g["text"].tolist(), width, similar, side == 0 if (side == 0).any() else None)
-            tied = label != np.arange(len(label))
-            out.append(pd.DataFrame({"u": cid[tied], "v": cid[label[tied]]}))
-        return pd.concat(out, ignore_index=True)
+    ``hashed(doc_id, text, h, g)`` are all rows, ``known(h, g, cid, own)`` the classes that may be compared, each of which has its
+    first row's text go to its tasks.  Texts are dealt by hash only where the classes are too many to broadcast, as Spark checks, and those of tasks by cell.
+    """
+
+    def __init__(self, hashed: DataFrame, known: DataFrame, repeated: bool, width: int, similar: float):
+        self.hashed, self.known, self.repeated, self.width, self.similar = hashed, known, repeated, width, similar
+
+    def edges(self, tasks: DataFrame) -> DataFrame:
+        width, similar = self.width, self.similar
+
+        def of(b: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for _, x in b.drop_duplicates(["task", "cid"]).sort_values(["task", "cid"]).groupby("task", sort=False):
+                side, cid = x["side"].to_numpy(int), x["cid"].to_numpy(np.int64)
+                label = alike(x["text"].tolist(), width, similar, side == 0 if (side == 0).any() else None)
+                tied = label != np.arange(len(label))
+                out.append(pd.DataFrame({"u": cid[tied], "v": cid[label[tied]]}))
+            return pd.concat(out, ignore_index=True)
 
-    return rows.groupBy("cell").applyInPandas(lambda b: of(b.drop(columns="cell")), "u long, v long")
+        one = self.known.select("h", "g", "cid", F.struct("own.a", "own.b").alias("first"))
+        rows = self.hashed.withColumn("here", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b")))
+        rows = rows.join(one.join(tasks, "cid"), ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first"))).select("cell", "task", "cid", "side", "text")
+        if self.repeated:  # rows that are repeated whole
+            rows = rows.dropDuplicates(["cell", "task", "cid", "side"])
+        return rows.groupBy("cell").applyInPandas(lambda b: of(b.drop(columns="cell")), "u long, v long")
 
 
-def verified(found: DataFrame, width: int, similar: float) -> DataFrame:
-    """``found(cid, root, text, bytes)``, texts by groups of candidates, in the shared folder -> edges (u, v) of the similar ones.
+def verified(found: DataFrame, compared: Compared) -> DataFrame:
+    """``found(cid, root, bytes)``, classes by groups of candidates, in the shared folder -> edges (u, v) of the similar ones.
 
     A group's texts are compared all with all, in a task or, if there are too many, within blocks.  The blocks of a group share
     LEADERS of its members, so most of it links to them; texts that don't are then compared with all other blocks.
     """
     groups = found.groupBy("root").agg(
-        F.greatest(F.ceil(F.count("cid") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.sum("bytes").alias("all"),
+        F.greatest(F.ceil(F.count("cid") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"), F.sum("bytes").alias("all"),
         F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "cid").alias("h"), "cid"))["cid"] for k in range(LEADERS)))).alias("leaders"),
     )
     groups = store(groups.withColumnRenamed("root", "r"), "groups")
@@ -232,9 +248,8 @@ def verified(found: DataFrame, width: int, similar: float) -> DataFrame:
     rows = found.join(groups, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = rows.withColumn("block", F.explode(F.when(F.array_contains("leaders", F.col("cid")), every).otherwise(F.array("block"))))
-    task, side = F.xxhash64("root", "block"), F.lit(1).alias("side")
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells)).cast("string")).otherwise(F.concat_ws("|", "root", "block"))
-    edges = store(compared(first.select(cell.alias("cell"), task.alias("task"), "cid", side, "text"), width, similar), "edges")
+    edges = store(compared.edges(first.select(cell.alias("cell"), F.xxhash64("root", "block").alias("task"), "cid", F.lit(1).alias("side"))), "edges")
     if groups.filter("blocks > 1").isEmpty():
         return edges
     members = rows.filter("blocks > 1").select("cid", "root", "block", "blocks")
@@ -248,8 +263,8 @@ def verified(found: DataFrame, width: int, similar: float) -> DataFrame:
     guests = rows.join(left, (F.col("root") == F.col("g")) & (F.col("cid") == F.col("x"))).join(lots, F.col("root") == F.col("l"))
     guests = guests.withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("lots")).cast("int")).withColumnRenamed("block", "own").withColumn("block", F.explode(every))
     guests = guests.filter("block <> own").withColumn("side", F.lit(0))
-    both = [x.select(F.concat_ws("|", "root", "block", "lot").alias("cell"), F.lit(0).alias("task"), "cid", "side", "text") for x in (mates, guests)]
-    return edges.unionAll(compared(both[0].unionAll(both[1]), width, similar))
+    both = [x.select(F.concat_ws("|", "root", "block", "lot").alias("cell"), F.lit(0).cast("long").alias("task"), "cid", "side") for x in (mates, guests)]
+    return edges.unionAll(compared.edges(both[0].unionAll(both[1])))
 
 
 def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -267,16 +282,9 @@ def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tup
     classes = rows.groupBy("h", "g").agg(F.min(order).alias("own"), F.first("bytes").alias("bytes"), F.first("wide").alias("wide"))
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     near = components(links(classes.select(F.col("cid").alias("fp"), "wide"), NEAR, WIDE_SHARD, SIXTEENTHS, WIDE_LEAF))
-    known = classes.join(near, F.col("cid") == F.col("node")).select("h", "g", "cid", "root", "bytes", "own")
-    # of each class one row's text goes to its group
-    here = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))
-    found = hashed.withColumn("here", here).join(known.withColumn("first", F.struct("own.a", "own.b")).drop("own"), ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first")))
-    found = found.select("cid", "root", "bytes", "text")
-    if not rows.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty():  # rows that are repeated whole
-        found = found.dropDuplicates(["cid"])
-    texts = Stored(docs.sparkSession, found, "found")
-    pairs = components(verified(texts.df, width, similar)).withColumnRenamed("root", "tied")
-    texts.drop()
+    known = store(classes.join(near, F.col("cid") == F.col("node")).select("h", "g", "cid", "root", "bytes", "own"), "known")
+    repeated = not rows.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty()
+    pairs = components(verified(known.select("cid", "root", "bytes"), Compared(hashed, known, repeated, width, similar))).withColumnRenamed("root", "tied")
     out = classes.join(pairs, F.col("cid") == F.col("node"), "left").select("h", "g", "own", "cid", F.coalesce("tied", "cid").alias("root"))
     return rows, store(out, "copies")
 

@@ -190,14 +190,14 @@ def test_near_copies_match_brute_force(spark, monkeypatch, block, shard):
     assert all(x[0] == least[group[rows.index(x)]] for x in kept)
 
 
-def test_near_copies_on_sf01(spark):
+def test_near_copies_on_a_table(spark):
     """Recall against all pairs of the table, and no link that isn't one."""
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     want = brute_copies([r.text for r in rows])
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
     wrong = [r.doc_id for r, g in zip(rows, want) if got[r.doc_id] != rows[g].doc_id]
     linked = sum(rows[g].doc_id != r.doc_id for r, g in zip(rows, want))
-    assert linked > 100 and len(wrong) <= 0.01 * linked, (linked, wrong[:10])
+    assert linked > 30 and not wrong, (linked, wrong[:10])
 
 
 def test_many_shards_lose_no_link(spark):
