@@ -7,10 +7,11 @@ then a gather of weights and a mean, whatever the text's length.  Texts without
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,20 +94,25 @@ class Rows:
 FIT_BYTES = 64 << 20
 
 
-def least_ids(df: DataFrame, n: int, salt: int) -> DataFrame:
-    """The n distinct ids of ``df(doc_id, ...)`` with the least hash of (salt, doc_id), and the columns beside them.
+def least_ids(df: DataFrame, sizes: dict[int, int], part: Column, salt: int) -> DataFrame:
+    """Of each part of ``df(doc_id, ...)`` so many distinct rows, those of the least hash of (salt, doc_id), with the part as ``part``.
 
-    Only rows under a bound on the hash are dealt out, which is raised until it holds enough; so repeats are told
+    Only rows under a bound on the hash are dealt out, which is raised for parts that it leaves short; so repeats are told
     apart without dealing out all ids.
     """
-    h, most = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 40)), 1 << 40
-    own = df.filter("doc_id is not null")
-    share = min(1.0, 4 * n / max(1, df.count()))
-    while True:
-        few = own.filter(h < int(share * most)).distinct()
-        if share >= 1 or few.count() >= n:
-            return few.orderBy(h, "doc_id", *[c for c in df.columns if c != "doc_id"]).limit(n)
-        share = min(1.0, share * 16)
+    most, names = 1 << 40, [f"`{c}`" for c in df.columns]
+    h = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(most))
+    rows = df.filter("doc_id is not null").withColumn("part", part)
+    share, left, out = 4 * max(sizes.values()) / max(1, df.count()), dict(sizes), []
+    while left:
+        few = store(rows.filter(F.col("part").isin(list(left)) & (h < int(min(1.0, share) * most))).distinct(), "ids")
+        there = {r.part: r["count"] for r in few.groupBy("part").count().collect()}
+        full = [p for p, n in left.items() if there.get(p, 0) >= n or share >= 1]
+        place = F.row_number().over(W.partitionBy("part").orderBy(h, *names))
+        limit = reduce(lambda c, p: c.when(F.col("part") == p, left[p]), full, F.when(F.lit(False), 0))
+        out.append(few.withColumn("__at", place).filter(F.col("__at") <= limit).drop("__at"))
+        left, share = {p: n for p, n in left.items() if p not in full}, share * 16
+    return reduce(DataFrame.unionAll, out)
 
 
 def sampled(docs: DataFrame, ids: DataFrame, most: int = FIT_BYTES) -> DataFrame:

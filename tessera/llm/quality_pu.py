@@ -91,9 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: i
     """
     free = ~held_out()
     trusted, others = labels.filter(free & (F.col(label) == 1)).select("doc_id"), docs.filter(free).select("doc_id")
+    check = (fold() == 1).cast("int")
     parts = [
-        linear.least_ids(df.filter((fold() == 1) == F.lit(check)), n, salt).withColumns({"kind": F.lit(2 - salt), "check": F.lit(check)})
-        for df, salt, sizes in ((trusted, 1, (positives, check_positives)), (others, 2, (unlabelled, check_unlabelled))) for check, n in zip((False, True), sizes)
+        linear.least_ids(df, {0: fit_on, 1: check_on}, check, salt).withColumns({"kind": F.lit(2 - salt), "check": F.col("part") == 1}).drop("part")
+        for df, salt, fit_on, check_on in ((trusted, 1, positives, check_positives), (others, 2, unlabelled, check_unlabelled))
     ]
     texts = linear.sampled(docs, reduce(DataFrame.unionAll, parts))
     rows = linear.featured(texts.filter("not check"))

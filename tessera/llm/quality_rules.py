@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,11 +81,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """On FIT rows of each label from folds 2-4 and calibrated on CALIBRATE rows of each from fold 1; fold 0 stays unseen."""
     own = labels.filter(~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    parts = [
-        linear.least_ids(own.filter((F.col("y") == y) & ((fold() == 1) == F.lit(check))), n, 3).withColumn("check", F.lit(check))
-        for y in (0, 1) for check, n in ((False, FIT), (True, CALIBRATE))
-    ]
-    rows = linear.featured(linear.sampled(docs, reduce(DataFrame.unionAll, parts)))
+    check = (fold() == 1).cast("int")
+    ids = linear.least_ids(own, {0: FIT, 1: CALIBRATE, 2: FIT, 3: CALIBRATE}, F.col("y") * 2 + check, 3).withColumn("check", F.col("part") % 2 == 1)
+    rows = linear.featured(linear.sampled(docs, ids.drop("part")))
     last = rows["check"].to_numpy(bool)
     y, y_check = rows["y"].to_numpy(float)[~last], rows["y"].to_numpy(float)[last]
     train, check = linear.matrix(rows[~last]), linear.matrix(rows[last])

@@ -419,7 +419,7 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 4) ->
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """On the strings of TEXTS texts of each label, hash-chosen outside the held-out fold; calibrated on fold 1."""
     own = labels.filter(~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    ids = linear.least_ids(own.filter("y = 1"), TEXTS, 5).unionAll(linear.least_ids(own.filter("y = 0"), TEXTS, 5)).withColumn("check", fold() == 1)
+    ids = linear.least_ids(own, {0: TEXTS, 1: TEXTS}, F.col("y"), 5).drop("part").withColumn("check", fold() == 1)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import linear, quality_pu, quality_rules, queries, textnum
 
@@ -75,10 +76,13 @@ def test_sample_is_bounded_and_whole(spark):
     many = spark.range(100_000).selectExpr("case when id % 2 = 0 then 7 else 8 end as doc_id", "concat('text ', id % 3) as text", "id as x")
     others = spark.range(5000).selectExpr("id + 100 as doc_id", "if(id = 3, null, concat('other ', id)) as text", "id as x")
     docs = many.unionAll(others).unionAll(spark.createDataFrame([(None, "none", 1)], "doc_id long, text string, x long"))
-    ids = linear.least_ids(docs.select("doc_id"), 300, 4)
-    got = [r.doc_id for r in ids.collect()]
+    ids = linear.least_ids(docs.select("doc_id"), {1: 300}, F.lit(1), 4)
+    got = sorted(r.doc_id for r in ids.collect())
     want = spark.createDataFrame([(i,) for i in [7, 8, *range(100, 5100)]], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(4, doc_id), 1099511627776L) as h").orderBy("h").limit(300)
-    assert got == [r.doc_id for r in want.collect()]
+    assert got == sorted(r.doc_id for r in want.collect())
+    # a rare part, of which all are wanted, beside a common one
+    parts = linear.least_ids(docs.select("doc_id"), {0: 20, 1: 50}, (F.col("doc_id") % 1000 == 7).cast("int"), 4).collect()
+    assert sorted(r.doc_id for r in parts if r.part) == [7, 1007, 2007, 3007, 4007, 5007] and len(parts) == 26
     fixed = spark.createDataFrame([(7, 1), (8, 0), (103, 1), (200, 0), (9999, 1)], "doc_id long, y int")
     rows = linear.sampled(docs, fixed).collect()
     assert sorted((r.doc_id, r.y) for r in rows) == [(7, 1), (8, 0), (103, 1), (200, 0)]
