@@ -5,11 +5,13 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_quality import brute as counts_of
 from test_simhash import brute_copies
 from tokenizers import Tokenizer
 
 from tessera.llm import linear, pii, quality_rules, queries
+from tessera.runtime import store
 
 SF = "/root/testdata/sf0.001"
 EXTRA = [(9001, None, "en", "src1", 0), (9002, "", "en", "src1", 0), (9003, "a b", None, None, None), (None, "no id but words enough to stay here, one two three four five six", "en", "srcX", 60), (None, None, None, None, None)]
@@ -25,7 +27,7 @@ def stages(spark):
     docs = docs.unionAll(spark.createDataFrame(EXTRA, docs.schema)).unionAll(docs.filter("doc_id < 3"))
     out = [docs]
     for name, stage in pipeline.STAGES:
-        docs = pipeline.store(stage(spark, docs, SF), "test")
+        docs = store(stage(spark, docs, SF), "test")
         out.append(docs)
     return out
 
@@ -85,10 +87,25 @@ def test_encoding(stages):
     assert all(r.exact and r.n_tokens == len(r.ids) // 4 for r in stages[5].collect())
 
 
+def test_long_text_and_clashing_columns(spark, stages):
+    """Columns of names that the stages use inside, and near copies that are as long as all other texts together."""
+    docs = queries.read(spark, SF, "documents")
+    whole = "\n".join(sorted(r.text for r in stages[2].filter("doc_id < 9000").collect()))
+    long = spark.createDataFrame([(7001, whole, "en", "src1", 1), (7002, whole + " end", "en", "src1", 1)], docs.schema)
+    names = ["h", "g", "cid", "root", "wide", "own", "key", "kinds", "w", "n"]
+    docs = docs.unionAll(long).select("*", *(F.col("doc_id").alias(n) for n in names))
+    for name, stage in pipeline.STAGES:
+        docs = store(stage(spark, docs, SF), "test")
+        if name != "bpe encoding":
+            assert docs.columns[5:] == names and docs.filter(" or ".join(f"{n} <> doc_id" for n in names)).isEmpty(), name
+            assert [r.doc_id for r in docs.filter("doc_id > 7000").select("doc_id").distinct().collect()] in ([7001], [7001, 7002], [7002, 7001]) and len(whole) > 100_000, name
+    assert docs.filter("doc_id = 7001 and exact").count() >= 1 and docs.filter("doc_id = 7002").isEmpty()
+
+
 def test_empty_table(spark):
     docs = queries.read(spark, SF, "documents").limit(0)
     for _, stage in pipeline.STAGES:
-        docs = pipeline.store(stage(spark, docs, SF), "test")
+        docs = store(stage(spark, docs, SF), "test")
     assert docs.collect() == []
 
 
