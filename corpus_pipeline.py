@@ -9,8 +9,11 @@ next stage's ``docs``.  All but the last return the columns of ``documents``.
 4. mixing: every document stays, those of small sources up to twice, by temperature weights;
 5. BPE: token ids of the whole text, and whether they decode to it.
 
-Nulls, empty and very long texts, repeated rows and empty tables are as the operators' docstrings say.  SQL can't
-express stages 1 to 3 and 5; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+Cases: texts that are null, empty or of fewer than ten words go in stage 1; rows with a null id are kept, and of rows alike in id
+and text one is; very long texts are read whole by every stage; null languages, sources and counts stay null; columns
+that ``documents`` has besides go along through stages 1 to 4, whatever their names, but for ``epoch`` and ``place``, which
+mixing replaces and drops; an empty table stays empty.  SQL can't express stages 1 to 3 and 5; tests/llm/test_pipeline.py
+holds each stage against a brute-force version.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, pii, quality_rules, simhash
 from tessera.llm.queries import read
-from tessera.runtime import store
+from tessera.runtime import Stored
 
 MAX_REPEATS = 2.0
 ORACLE_SQL = None
@@ -55,8 +58,11 @@ STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("pii
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the ``documents`` of ``sf_dir``."""
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows over the ``documents`` of ``sf_dir``; a stage's table goes once the next one's is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = Stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            before.drop()
+        docs, before = made.df, made
     return docs
