@@ -18,6 +18,33 @@ def erase(s: Column, x: Column) -> Column:
     return F.array_remove(s, x)
 
 
+def erase_at(s: Column, at: int | Column) -> Column:
+    """Without the element at a place, counted from 0; whole if there is none."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.filter(s, lambda x, i: i != at)
+
+
+def clear(s: Column) -> Column:
+    """The empty set of the same type; NULL stays."""
+    return F.filter(s, lambda x: F.lit(False))
+
+
+def find(s: Column, x: Column) -> Column:
+    """The place of an element, counted from 0; NULL if it isn't there."""
+    at = F.array_position(s, x)
+    return F.when(at > 0, at - 1)
+
+
+def lower_bound(s: Column, x: Column) -> Column:
+    """The place of the first element that isn't below one; the set's size if all are."""
+    return F.size(F.filter(s, lambda y: y < x))
+
+
+def at(s: Column, i: int | Column) -> Column:
+    """The element at a place, counted from 0; NULL if there is none."""
+    return F.get(s, F.lit(i) if isinstance(i, int) else i)
+
+
 def keep_if(s: Column, f) -> Column:
     return F.filter(s, f)
 

@@ -21,9 +21,23 @@ def from_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def lookup(df: DataFrame, column: str, key: Any) -> DataFrame:
-    """Rows whose column equals a key; a filter that reaches the scan."""
-    return df.filter(F.col(column) == F.lit(key))
+def lookup(df: DataFrame, column: str | dict[str, Any], key: Any = None) -> DataFrame:
+    """Rows whose column equals a key, or whose columns equal the keys given by name; filters that reach the scan."""
+    keys = column if isinstance(column, dict) else {column: key}
+    for name, value_ in keys.items():
+        df = df.filter(F.col(f"`{name}`") == F.lit(value_))
+    return df
+
+
+def indexed(df: DataFrame, name: str, *indexes: str | tuple[str, ...], buckets: int = 64) -> dict[tuple[str, ...], DataFrame]:
+    """``df`` saved once per index as a table bucketed and sorted by the index's columns, so that lookups on them read one
+    bucket and joins on them don't shuffle; the tables by their columns.  Tables of that name are replaced."""
+    out = {}
+    for columns in (c if isinstance(c, tuple) else (c,) for c in indexes):
+        table = "_".join([name, "by", *columns])
+        df.write.mode("overwrite").bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(table)
+        out[columns] = df.sparkSession.table(table)
+    return out
 
 
 def xrange(start: Any, stop: Any = None, step: Any = None) -> Expr:

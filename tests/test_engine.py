@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import (
     BOT, CONFIGURE, END, FIXPOINT, IGNORE, WITH_ELEMENTS, ArityError, LVar, Program, ProgramError, StratificationError, UnboundVariableError,
-    bind, call, custom, enumerate_, from_rows, guard, iterate, lbitset, lmax, lmin, lookup, lset, of_code, variables, xrange,
+    bind, call, custom, enumerate_, from_rows, guard, indexed, iterate, lbitset, lmax, lmin, lookup, lset, of_code, variables, xrange,
 )
 from tessera.functions import sets
 from tessera.inspect import Inspector, export_json
@@ -436,6 +436,33 @@ def test_set_functions(spark):
     assert tuple(got) == ([1, 2, 3], [0, 1, 2, 3], [1, 2], [1], 3, 2, True, [1, 2, 3], [2], [1, 3])
 
 
+def test_places_in_sets(spark):
+    df = spark.range(1).select(F.array(*map(F.lit, [2, 5, 7, 11])).alias("s"))
+    five, six = F.lit(5), F.lit(6)
+    got = df.select(
+        sets.find("s", five).alias("a"), sets.find("s", six).alias("b"), sets.lower_bound("s", five).alias("c"), sets.lower_bound("s", six).alias("d"), sets.lower_bound("s", F.lit(99)).alias("e"),
+        sets.at("s", 3).alias("f"), sets.at("s", 4).alias("g"), sets.erase_at("s", 1).alias("h"), sets.erase_at("s", 9).alias("i"), sets.clear("s").alias("j"), sets.erase_at("s", sets.find("s", six)).alias("k"),
+    ).first()
+    assert tuple(got)[:10] == (1, None, 1, 2, 4, 11, None, [2, 7, 11], [2, 5, 7, 11], [])
+
+
+def test_indexed_sources(spark):
+    df = from_rows(spark, [(1, "a", 1), (5, "b", 2), (1, "c", 2), (3, "a", 2)], "k int, s string, n int")
+    by = indexed(df, "kv_of_test", "s", ("k", "n"), buckets=4)
+    assert set(by) == {("s",), ("k", "n")}
+    assert rows(lookup(by[("s",)], "s", "a")) == [(1, "a", 1), (3, "a", 2)] and rows(lookup(by[("k", "n")], {"k": 1, "n": 2})) == [(1, "c", 2)]
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # has the plan tell of buckets, which prune files either way
+    plan = lookup(by[("s",)], "s", "a")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 4" in plan
+    p = Program(spark, "indexed")
+    one = p.external(by[("s",)], "one")
+    p.emit("out", {"k": k, "n": n}, one(k, "a", n))
+    assert rows(p.run("out")) == [(1, 1), (3, 2)]
+    for t in ("kv_of_test_by_s", "kv_of_test_by_k_n"):
+        spark.sql(f"drop table {t}")
+
+
 def test_stream(spark, tmp_path):
     from_rows(spark, [(1, 5), (2, 50)], "k int, x int").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("k int, x int").parquet(str(tmp_path / "in"))
