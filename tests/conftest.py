@@ -10,11 +10,11 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.driver.host", "127.0.0.1").config("spark.sql.warehouse.dir", "/tmp/tessera-warehouse")
+        .config("spark.driver.memory", "4g").config("spark.driver.host", "127.0.0.1").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.default.parallelism", "4").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
