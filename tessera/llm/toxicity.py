@@ -187,11 +187,12 @@ class Landmarks:
             for m in np.unique(size):
                 at, weight = places(int(m), n)
                 own = np.flatnonzero(size == m)
-                for some in np.array_split(own, 1 + len(own) // 256) if len(at) else ():
+                for some in np.array_split(own, 1 + len(own) // 64) if len(at) else ():
                     x = np.frombuffer(b"".join(keys[i] for i in some), np.uint8).reshape(len(some), m).astype(np.int64)
                     row = of[x[:, at] @ LETTERS ** np.arange(n - 1, -1, -1)]
                     i, j = np.nonzero(row)
-                    found = rows[row[i, j]] * weight[j, None]
+                    found = rows[row[i, j]]
+                    found *= weight[j, None].astype(np.float32)
                     if len(i):
                         start = np.flatnonzero(np.r_[True, np.diff(i) > 0])
                         out[some[i[start]]] += np.add.reduceat(found, start, axis=0) / norm(int(m), n)
@@ -299,9 +300,10 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, st
 def shares(texts: list[set[bytes]]) -> np.ndarray:
     """What each text weighs: near copies (by two bands of three least hashes) share the weight of one, as they would count a chance word often."""
     first: dict[tuple, int] = {}
-    group = np.arange(len(texts))
+    group, odd = np.arange(len(texts)), np.array([[2654435761], [2246822519], [3266489917], [668265263], [374761393], [2869860233]], np.uint64)
     for i, x in enumerate(texts):
-        least = [min((crc32(k, salt) for k in x), default=i) for salt in range(6)]
+        h = np.array([crc32(k) for k in x], np.uint64)
+        least = ((h * odd) >> np.uint64(7) & np.uint64(0xFFFFFFFF)).min(axis=1).tolist() if x else [i] * 6
         bands = [(b, *least[b : b + 3]) for b in (0, 3)]
         group[i] = min([group[first[b]] for b in bands if b in first], default=i)
         for b in bands:
@@ -409,7 +411,8 @@ def train(toxic: list[set[bytes]], clean: list[set[bytes]], rounds: int = 4) ->
                 worst = [extra[i] for i in np.argsort(-z, kind="stable")[: CLEAN // 4] if z[i] > -0.8]
                 if worst:
                     negatives, x_neg = negatives + worst, np.r_[x_neg, features(worst)]
-            every = sorted(hot)
+            # only texts without a telling string look for the most toxic one
+            every = sorted(set().union(*(x for x in toxic if not x & sure)))
             z = dict(zip(every, model.of_keys(every)))
             witness = witnesses(lambda k: (z[k], k))
     model.floor = float(min(b, -1.0))
