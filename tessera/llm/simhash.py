@@ -226,8 +226,9 @@ class Compared:
             return pd.concat(out, ignore_index=True)
 
         one = self.known.select("h", "g", "cid", F.struct("own.a", "own.b").alias("first"))
+        wanted = store(one.join(tasks, "cid"), "tasks")  # written, so that Spark knows its size before it deals texts
         rows = self.hashed.withColumn("here", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b")))
-        rows = rows.join(one.join(tasks, "cid"), ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first"))).select("cell", "task", "cid", "side", "text")
+        rows = rows.join(wanted, ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first"))).select("cell", "task", "cid", "side", "text")
         if self.repeated:  # rows that are repeated whole
             rows = rows.dropDuplicates(["cell", "task", "cid", "side"])
         return rows.groupBy("cell").applyInPandas(lambda b: of(b.drop(columns="cell")), "u long, v long")
