@@ -34,14 +34,11 @@ from tessera.runtime import store
 SEED, DISTANCE, SHARD, MAX_DEPTH = 42, 3, 8192, 16
 #: Shards beyond this many times their meant size are cut into blocks.
 HOT = 4
-#: Near copies: words of a shingle, least similarity of the sets; 64-bit words of a fingerprint, candidates' distance over all
-#: its bits.  Of two texts of similarity 0.8 a bit differs with a chance of 0.15, so 39 of 256 do, within 58 but for 3 pairs in
-#: 10 ** 4; and of 16 times 16 bits one differs in one bit at most for 99.4 pairs in 100 (at 0.85: 99.9).
-WIDTH, SIMILAR, WORDS, NEAR = 5, 0.8, 4, 58
+#: Near copies: words of a shingle, least similarity of the sets.
+WIDTH, SIMILAR = 5, 0.8
 WIDE_SHARD, WIDE_LEAF = 1 << 17, 48
 #: Texts, and bytes, of candidates that are compared in one task; members of a larger group that all others are compared with first.
 BLOCK, BLOCK_BYTES, LEADERS = 512, 16 << 20, 4
-SALTS = np.arange(WORDS, dtype=np.uint64) * textnum.MULT
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -74,16 +71,16 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str
     return docs.withColumn(name, of(F.col(text)))
 
 
-def wide_fingerprints(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
-    """(texts, WORDS) majority bits over the texts' distinct shingles, each hashed to WORDS words; 0 for a text without words."""
-    out = np.zeros((len(texts), WORDS), np.uint64)
+def wide_fingerprints(texts: list[str | None], width: int = WIDTH, words: int = 4) -> np.ndarray:
+    """(texts, words) majority bits over the texts' distinct shingles, each hashed to 64-bit words; 0 for a text without words."""
+    out, salts = np.zeros((len(texts), words), np.uint64), np.arange(words, dtype=np.uint64) * textnum.MULT
     for at, t in textnum.batches(texts, lower=True):
         doc, h = t.shingles(width)
-        votes, n = np.zeros((t.n, 64 * WORDS), np.int64), np.bincount(doc, minlength=t.n)
+        votes, n = np.zeros((t.n, 64 * words), np.int64), np.bincount(doc, minlength=t.n)
         for i in range(0, len(h), CHUNK >> 2):
             d, own = doc[i : i + (CHUNK >> 2)], h[i : i + (CHUNK >> 2)]
-            words = np.stack([textnum.mix(own + x) for x in SALTS], axis=1)
-            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            hashes = np.stack([textnum.mix(own + x) for x in salts], axis=1)
+            bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
             first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             votes[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         out[at : at + t.n] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8")
@@ -105,7 +102,18 @@ class Views:
 
 #: Of two values that differ in 3 bits one half differs in 1 at most.
 HALVES = Views(1, ((0, 0xFFFFFFFF), (0, 0xFFFFFFFF << 32)), DISTANCE // 2)
-SIXTEENTHS = Views(WORDS, tuple((w, 0xFFFF << s) for w in range(WORDS) for s in (0, 16, 32, 48)), 1)
+#: For near copies.  Of two texts of similarity 0.8 a bit differs with a chance of 0.15, so of 16 times 16 bits one differs in one
+#: bit at most for 99.4 pairs in 100 (at 0.85: 99.9).  Two texts by chance do in a view for one pair in 3,855.
+SIXTEENTHS = Views(4, tuple((w, 0xFFFF << s) for w in range(4) for s in (0, 16, 32, 48)), 1)
+#: The same for tables of 10 ** 8 texts and more: of 16 times 32 bits one differs in three at most for 99.3 pairs in 100, and by
+#: chance for one pair in 782,000, at the price of fingerprints of twice the size and of more shards visited.
+LONG_SIXTEENTHS = Views(8, tuple((w, 0xFFFFFFFF << s) for w in range(8) for s in (0, 32)), 3)
+
+
+def bits_apart(similar: float, words: int) -> int:
+    """Bits in which wide fingerprints of texts of a similarity differ, but for 4 pairs in 10 ** 4."""
+    p, n = float(np.arccos(min(1.0, 2 * similar / (1 + similar))) / np.pi), 64 * words
+    return int(np.ceil(n * p + 3.35 * np.sqrt(n * p * (1 - p))))
 
 
 def links(distinct: DataFrame, r: int = DISTANCE, shard: int = SHARD, views: Views = HALVES, leaf: int = vptree.LEAF) -> DataFrame:
@@ -268,21 +276,21 @@ def verified(found: DataFrame, compared: Compared) -> DataFrame:
     return edges.unionAll(compared.edges(both[0].unionAll(both[1])))
 
 
-def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, views: Views = SIXTEENTHS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, g) of ``docs(doc_id, text)``, h and g being hashes of the text, and classes of texts alike (h, g, own, cid,
     root): own is the first row of a class, root the same for all classes that are linked.  Both are in the shared folder."""
 
     @F.pandas_udf("binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in (x for b in texts for x in slices(b)):
-            yield pd.Series([x.tobytes() for x in wide_fingerprints(s.tolist(), width)], dtype=object)
+            yield pd.Series([x.tobytes() for x in wide_fingerprints(s.tolist(), width, views.words)], dtype=object)
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(SEED), "text").alias("g"))
     rows = store(hashed.select("doc_id", "h", "g", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), of("text").alias("wide")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c"))
     classes = rows.groupBy("h", "g").agg(F.min(order).alias("own"), F.first("bytes").alias("bytes"), F.first("wide").alias("wide"))
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    near = components(links(classes.select(F.col("cid").alias("fp"), "wide"), NEAR, WIDE_SHARD, SIXTEENTHS, WIDE_LEAF))
+    near = components(links(classes.select(F.col("cid").alias("fp"), "wide"), bits_apart(similar, views.words), WIDE_SHARD, views, WIDE_LEAF))
     known = store(classes.join(near, F.col("cid") == F.col("node")).select("h", "g", "cid", "root", "bytes", "own"), "known")
     repeated = not rows.groupBy("doc_id", "h", "g").count().filter("count > 1").isEmpty()
     pairs = components(verified(known.select("cid", "root", "bytes"), Compared(hashed, known, repeated, width, similar))).withColumnRenamed("root", "tied")
@@ -290,22 +298,22 @@ def copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> tup
     return rows, store(out, "copies")
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, views: Views = SIXTEENTHS) -> DataFrame:
     """(doc_id, component_id) per row: the least doc_id of the texts that links of similar shingle sets reach, null if none has one."""
-    rows, classes = copies(docs, width, similar)
+    rows, classes = copies(docs, width, similar, views)
     least = classes.groupBy(F.col("root").alias("r")).agg(F.min("own.b").alias("component_id"))
     named = classes.join(least, F.col("root") == F.col("r")).select("h", "g", "component_id")
     return rows.join(named, ["h", "g"]).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, views: Views = SIXTEENTHS) -> DataFrame:
     """Rows of ``docs`` with one left of each group of near copies: that with the least doc_id (null last), then the least text hash.
 
     A row is known by (doc_id, XXH64 of its text), so a repeated id with another text is a row of its own; of rows
     alike in both, one stays.  The rows that go are the short side of an anti-join.  Texts are dealt by key only
     where such repeats exist, and then only theirs.
     """
-    rows, classes = copies(docs.select("doc_id", "text"), width, similar)
+    rows, classes = copies(docs.select("doc_id", "text"), width, similar, views)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c"))
     # a group's first row is found over its classes, so rows are never dealt by group
     first = store(classes.join(classes.groupBy(F.col("root").alias("r")).agg(F.min("own").alias("first")), F.col("root") == F.col("r")).select("h", "g", "first"), "first")

@@ -164,8 +164,21 @@ def test_alike():
     assert simhash.alike(["a b c d e f g h", "a b c d e f g h i"]).tolist() == [0, 0] and simhash.alike(["a b c d e f g", "a b c d e f g h"]).tolist() == [0, 1]
 
 
-@pytest.mark.parametrize("block, shard", [(512, 1 << 17), (4, 8)])
-def test_near_copies_match_brute_force(spark, monkeypatch, block, shard):
+def test_bits_apart():
+    assert simhash.bits_apart(0.8, 4) == 58 and simhash.bits_apart(1.0, 4) == 0 and 100 < simhash.bits_apart(0.8, 8) < 110
+    rng = np.random.default_rng(16)
+    for words in (4, 8):  # sets of similarity 0.8: 160 shared shingles, 20 of each text's own
+        far = []
+        for _ in range(200):
+            w = [f"s{x}" for x in rng.integers(0, 10**9, 204)]
+            a, b = " ".join(w), " ".join(w[:182] + [f"t{x}" for x in rng.integers(0, 10**9, 22)])
+            x, y = simhash.wide_fingerprints([a, b], 5, words)
+            far.append(int(np.bitwise_count(x ^ y).sum()))
+        assert max(far) <= simhash.bits_apart(0.8, words) and np.mean(far) > 0.12 * 64 * words
+
+
+@pytest.mark.parametrize("block, shard, views", [(512, 1 << 17, "SIXTEENTHS"), (4, 8, "SIXTEENTHS"), (512, 64, "LONG_SIXTEENTHS")])
+def test_near_copies_match_brute_force(spark, monkeypatch, block, shard, views):
     """Also where groups are compared by blocks, and shards are many and hot."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "WIDE_SHARD", shard)
@@ -181,9 +194,10 @@ def test_near_copies_match_brute_force(spark, monkeypatch, block, shard):
     least = {}
     for g, (i, _) in zip(group, rows):
         least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
-    got = simhash.near_copies(df).collect()
+    views = getattr(simhash, views)
+    got = simhash.near_copies(df, views=views).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, least[g]) for (i, _), g in zip(rows, group)), key=str)
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, views=views)
     assert kept.columns == df.columns
     kept = [(x.doc_id, x.text) for x in kept.collect()]
     assert len(kept) == len(set(group)) and {group[rows.index(x)] for x in kept} == set(group)
