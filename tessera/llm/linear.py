@@ -108,9 +108,7 @@ def least_ids(df: DataFrame, sizes: dict[int, int], part: Column, salt: int) ->
         few = store(rows.filter(F.col("part").isin(list(left)) & (h < int(min(1.0, share) * most))).distinct(), "ids")
         there = {r.part: r["count"] for r in few.groupBy("part").count().collect()}
         full = [p for p, n in left.items() if there.get(p, 0) >= n or share >= 1]
-        place = F.row_number().over(W.partitionBy("part").orderBy(h, *names))
-        limit = reduce(lambda c, p: c.when(F.col("part") == p, left[p]), full, F.when(F.lit(False), 0))
-        out.append(few.withColumn("__at", place).filter(F.col("__at") <= limit).drop("__at"))
+        out += [few.filter(F.col("part") == p).orderBy(h, *names).limit(left[p]) for p in full]
         left, share = {p: n for p, n in left.items() if p not in full}, share * 16
     return reduce(DataFrame.unionAll, out)
 

@@ -164,6 +164,16 @@ def test_alike():
     assert simhash.alike(["a b c d e f g h", "a b c d e f g h i"]).tolist() == [0, 0] and simhash.alike(["a b c d e f g", "a b c d e f g h"]).tolist() == [0, 1]
 
 
+def test_filter_of_hashes(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("xxhash64(id) as h", "id", "'x' as bits", "id as page")
+    keys = rows.filter("id % 7 = 0").select("h")
+    got = {r.id: r.maybe for r in simhash.maybe(rows.select("h", "id"), keys).collect()}
+    assert len(got) == 20_000 and all(got[i] for i in range(0, 20_000, 7)) and sum(got.values()) < 20_000 / 7 + 20
+    assert not any(r.maybe for r in simhash.maybe(rows.select("h"), keys.limit(0)).collect())
+    monkeypatch.setattr(simhash, "FILTER_BITS", 8)  # full: all pass
+    assert all(r.maybe for r in simhash.maybe(rows.select("h"), keys).collect())
+
+
 def test_bits_apart():
     assert simhash.bits_apart(0.8, 4) == 58 and simhash.bits_apart(1.0, 4) == 0 and 100 < simhash.bits_apart(0.8, 8) < 110
     rng = np.random.default_rng(16)
