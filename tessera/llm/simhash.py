@@ -230,7 +230,7 @@ class Compared:
     with side 1 only, if both are there.
 
     ``hashed(doc_id, text, h, g)`` are all rows, ``known(h, g, cid, own)`` the classes that may be compared, each of which has its
-    first row's text go to its tasks.  Only texts that pass a filter of the classes' hashes are dealt, to the classes and to cells.
+    first row's text go to its tasks.  Only texts that pass a filter of the classes' hashes are dealt, to the classes and to cells, and so at any size.
     """
 
     def __init__(self, hashed: DataFrame, known: DataFrame, repeated: bool, width: int, similar: float):
@@ -251,7 +251,7 @@ class Compared:
         one = self.known.select("h", "g", "cid", F.struct("own.a", "own.b").alias("first"))
         wanted = store(one.join(tasks, "cid"), "tasks")  # written, so that Spark knows its size before it deals texts
         rows = maybe(self.hashed, wanted).filter("maybe").withColumn("here", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b")))
-        rows = rows.join(wanted, ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first"))).select("cell", "task", "cid", "side", "text")
+        rows = rows.join(wanted.hint("merge"), ["h", "g"]).filter(F.col("here").eqNullSafe(F.col("first"))).select("cell", "task", "cid", "side", "text")
         if self.repeated:  # rows that are repeated whole
             rows = rows.dropDuplicates(["cell", "task", "cid", "side"])
         return rows.groupBy("cell").applyInPandas(lambda b: of(b.drop(columns="cell")), "u long, v long")
@@ -335,7 +335,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, view
     gone = store(rows.join(first, ["h", "g"]).filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__g")).distinct(), "gone")
     left, same = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g"))
     marked = maybe(left, gone.select(F.col("__g").alias("h"))).select("row.*", F.col("h").alias("__h"), F.col("maybe").alias("__maybe"))
-    kept = marked.filter("not __maybe").unionAll(marked.filter("__maybe").join(gone, same, "left_anti")).drop("__maybe")
+    kept = marked.filter("not __maybe").unionAll(marked.filter("__maybe").join(gone.hint("merge"), same, "left_anti")).drop("__maybe")
     repeats = rows.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"))
     if not repeats.isEmpty():
         again = store(repeats, "repeats")
