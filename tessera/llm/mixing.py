@@ -55,14 +55,14 @@ def weights(sources: DataFrame, max_repeats: float | None = None, entropy: float
     """``sources(source, t, n)``, a row each -> with p, alpha, w, part (tokens), laps, rest, blocks."""
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
-    one = sources.agg(F.collect_list(F.struct(F.col(by).alias("by"), "t", "n")).alias("s"))  # a short entry per source
-    one = one.withColumn("total", F.expr("aggregate(s, 0D, (a, x) -> a + x.t)"))
-    one = one.withColumn("lp", F.expr("array_sort(transform(s, x -> ln(x.t / total)))"))
-    one = one.withColumn("alpha", F.expr(exponent(max_repeats, entropy)))
-    one = one.withColumn("z", F.expr("aggregate(lp, 0D, (a, l) -> a + exp(alpha * l))"))
-    one = one.withColumn("least", F.expr("array_max(transform(s, x -> x.t / exp(alpha * ln(x.t / total))))"))
-    rows = one.select(F.explode("s").alias("s"), "total", "alpha", "z", "least").select(F.col("s.by").alias(by), "s.t", "s.n", "total", "alpha", "z", "least")
-    rows = rows.withColumn("p", F.col("t") / F.col("total")).withColumn("w", F.exp(F.col("alpha") * F.log("p")) / F.col("z"))
+    one = sources.agg(F.sum("t").cast("double").alias("total"), F.min("t").alias("low"), F.max("t").alias("high"), *([] if entropy is None else [F.collect_list("t").alias("all")]))
+    # the repetition limit asks for the least and the greatest share alone; the entropy for all, a number per source
+    one = one.withColumn("lp", F.expr("array_sort(transform(all, x -> ln(x / total)))") if entropy is not None else F.array(F.log(F.col("low") / F.col("total")), F.log(F.col("high") / F.col("total"))))
+    one = store(one.select("total", F.expr(exponent(max_repeats, entropy)).alias("alpha")), "exponent")
+    rows = sources.withColumns({"total": one.select("total").scalar(), "alpha": one.select("alpha").scalar()})
+    rows = store(rows.withColumn("p", F.col("t") / F.col("total")).withColumn("own", F.exp(F.col("alpha") * F.log("p"))), "shares")
+    sums = store(rows.agg(F.sum("own").alias("z"), F.max(F.col("t") / F.col("own")).alias("least")), "sums")
+    rows = rows.withColumns({"z": sums.select("z").scalar(), "least": sums.select("least").scalar()}).withColumn("w", F.col("own") / F.col("z"))
     whole = F.lit(float(budget)) if budget is not None else F.col("least") * F.col("z")
     rows = rows.withColumn("part", F.round(F.col("w") * whole).cast("long"))
     return rows.select(by, "t", "n", "p", "alpha", "w", "part", F.expr("part div t").alias("laps"), F.expr("part % t").alias("rest"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
