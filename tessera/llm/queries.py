@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chat, mixing, pii, quality_pu, quality_rules, simhash, toxicity, vectors, warc
 
 
+#: Rows of an Arrow batch: the operators work on slices of some hundred texts, so larger batches only take memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder; the session's Arrow batches are held to BATCH rows."""
+    if not 0 < int(spark.conf.get(BATCH[0], "10000")) <= BATCH[1]:
+        spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
