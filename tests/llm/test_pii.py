@@ -185,6 +185,47 @@ def test_clashing_entities_are_rekeyed(spark):
     assert done.columns == ["doc_id", "p"] and pii.clashing(done, "p").collect() == []
 
 
+def test_small_formats_are_settled(spark):
+    """More entities than their formats have values to spare: all two-letter names of a shape, all listed names as families, and so on."""
+    full = {
+        "Mr. {} left": [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"] + ["Юй", "Ли", "Ян"],
+        "Mr. Zorb {} left": [n for own in pii.GIVEN.values() for n in own],
+        "from {} on": [f"{x}::" for x in range(1, 10)] + [f"{a}.{b}.{c}.9" for a in range(10) for b in range(10) for c in range(10)],
+        "write {} to": [f"_@{c}.co" for c in "abcdefghijklmnopqrstuvwxyz"],
+        "password={}": [f"!!!!!{i}" for i in range(10)] + ["??????", "-----------"], "call {} now": ["+123 45678", "+123 45679"],
+    }
+    rows = [(f.format(v), v) for f, values in full.items() for v in values]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(len(rows), "at 0001:0:0:0:0:0:0:0 and 1:: now")], "doc_id long, text string")
+    done = pii.settled(docs, KEY, "p")
+    assert pii.clashing(done, "p").collect() == []
+    got = {r.doc_id: r.p for r in done.collect()}
+    new = {}
+    for i, (text, v) in enumerate(rows):
+        assert got[i].originals[-1] == v, (text, got[i])
+        for a, b in zip(got[i].originals, got[i].surrogates):
+            text = text.replace(a, b, 1)
+        assert got[i].text == text
+        new[got[i].kinds[-1], v] = got[i].surrogates[-1]
+    assert len({(k, b) for (k, _), b in new.items()}) == len(rows) and not {(k, b) for (k, _), b in new.items()} & set(new)
+    assert len({ipaddress.ip_address(x) for x in [new["ipv6", "1::"], *got[len(rows)].surrogates]}) == 1
+    assert {r.text for r in pii.pseudonymise(docs, KEY).collect()} == {p.text for p in got.values()}
+
+
+def test_what_cant_be_settled_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDER", 0)
+    docs = spark.createDataFrame([(i, f"from {i}:: on") for i in range(1, 10)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="ipv6") as told_of:
+        pii.settled(docs, KEY, "p")
+    assert "::" not in str(told_of.value)
+
+
+def test_signs_without_a_class_are_replaced():
+    for t, v in {"password=!!!!!!": "!!!!!!", "pwd: ????????": "????????", "Mr. ẞẞ": "ẞẞ"}.items():
+        text, found = told(t)
+        assert [a for _, a, _ in found] == [v] and v not in text and len(text) == len(t)
+    assert told("password=!!!!!!")[0] != told("password=??????")[0]
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
