@@ -477,3 +477,15 @@ def test_stream(spark, tmp_path):
     p.emit("bad", {"k": k}, t(k))
     with pytest.raises(ProgramError):
         stream(p, "bad")
+
+
+def test_theta_join_deals_the_pairs_of_one_key(spark):
+    """One key of 20,000 and 4,000 rows, each side in one partition, some rows twice: its pairs come from several tasks."""
+    p = Program(spark, "theta")
+    left = p.external(spark.range(20_000).select((F.col("id") % 1).alias("k"), (F.col("id") - F.col("id") % 2).alias("x")).coalesce(1), "left")
+    right = p.external(spark.range(4_000).select((F.col("id") % 1).alias("k"), (F.col("id") % 50).alias("y")).coalesce(1), "right")
+    x, y, k = variables("x y k")
+    p.emit("out", {"x": x, "y": y}, left(k, x), right(k, y), guard(x < y))
+    got = p.run("out").withColumn("at", F.spark_partition_id()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.collect_set("at").alias("at")).collect()
+    assert {(r.x, r.y): r.n for r in got} == {(i, j): 160 for j in range(50) for i in range(0, j, 2)}
+    assert len({t for r in got for t in r["at"]}) > 1
